@@ -1,135 +1,126 @@
 """Derived flow features.
 
-Each step returns ``{name: Column}`` for the features whose inputs the table has, so the whole
-chain lands in one projection: no copies, no shuffle, all of it inside one codegen span.
+A step maps the columns a table has to ``{name: SQL text}`` for the features whose inputs are there.
+The whole chain lands in one projection: no copies and no shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from tidewatch.functions.numbers import finite_or_zero, fractional_columns, numeric_columns
+from tidewatch.functions.numbers import finite_test, fractional_columns, numeric_columns, quoted
 
 # The divisor guard and the upper edges of the duration bands.
-EPSILON = 1e-6
-DURATION_BANDS = [(1.0, "instant"), (10.0, "short"), (60.0, "medium"), (300.0, "long")]
+EPSILON = "1e-6"
+DURATION_BANDS = [("1e0", "instant"), ("1e1", "short"), ("6e1", "medium"), ("3e2", "long")]
 LAST_BAND = "persistent"
 PRIVILEGE_INPUTS = ["root_shell", "su_attempted", "num_root", "num_shells", "num_compromised"]
 
 
-def per(top: str, bottom: str) -> Column:
+def per(top: str, bottom: str) -> str:
     """``top / (bottom + EPSILON)`` in doubles; a divisor of exactly zero gives null."""
-    return F.try_divide(F.col(top).cast("double"), F.col(bottom).cast("double") + F.lit(EPSILON))
+    return f"try_divide(cast({top} AS double), cast({bottom} AS double) + {EPSILON})"
 
 
-def flag(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False)).cast("tinyint")
+def flag(condition: str) -> str:
+    return f"cast(coalesce({condition}, false) AS tinyint)"
 
 
-def _pick(have: set[str], rules) -> dict[str, Column]:
-    return {name: make() for name, inputs, make in rules if have.issuperset(inputs)}
+def duration_band(value: str = "duration") -> str:
+    """Right-closed bands; a missing duration has no band."""
+    whens = " ".join(f"WHEN {value} <= {edge} THEN '{name}'" for edge, name in DURATION_BANDS)
+    return f"CASE WHEN {value} IS NULL OR isnan({value}) THEN NULL {whens} ELSE '{LAST_BAND}' END"
 
 
-def _upload_heavy() -> Column:
-    ratio = per("src_bytes", "dst_bytes")
-    return flag(~F.isnan(ratio) & (ratio > F.lit(1.0)))
-
-
-def traffic_rates(have: set[str]) -> dict[str, Column]:
-    return _pick(have, [
-        ("src_byte_rate", ["src_bytes", "duration"], lambda: per("src_bytes", "duration")),
-        ("dst_byte_rate", ["dst_bytes", "duration"], lambda: per("dst_bytes", "duration")),
-        ("total_bytes", ["src_bytes", "dst_bytes"], lambda: F.col("src_bytes") + F.col("dst_bytes")),
-        ("byte_ratio", ["src_bytes", "dst_bytes"], lambda: per("src_bytes", "dst_bytes")),
-        ("is_upload_heavy", ["src_bytes", "dst_bytes"], _upload_heavy),
-        ("packet_rate", ["count", "duration"], lambda: per("count", "duration")),
-        ("srv_packet_rate", ["srv_count", "duration"], lambda: per("srv_count", "duration")),
-    ])
-
-
-def connection_ratios(have: set[str]) -> dict[str, Column]:
-    def add(a, b):
-        return lambda: F.col(a) + F.col(b)
-
-    return _pick(have, [
-        ("srv_count_ratio", ["srv_count", "count"], lambda: per("srv_count", "count")),
-        ("dst_host_srv_ratio", ["dst_host_srv_count", "dst_host_count"],
-         lambda: per("dst_host_srv_count", "dst_host_count")),
-        ("error_rate_total", ["serror_rate", "rerror_rate"], add("serror_rate", "rerror_rate")),
-        ("dst_host_error_rate_total", ["dst_host_serror_rate", "dst_host_rerror_rate"],
-         add("dst_host_serror_rate", "dst_host_rerror_rate")),
-        ("srv_diversity", ["diff_srv_rate", "same_srv_rate"],
-         lambda: F.col("diff_srv_rate") - F.col("same_srv_rate")),
-    ])
-
-
-def duration_band(duration: Column) -> Column:
-    """Right-closed bands; a missing duration has no band."""
-    known = ~F.isnan(duration)
-    band = F.when(duration.isNull() | ~known, F.lit(None).cast("string"))
-    for edge, name in DURATION_BANDS:
-        band = band.when(duration <= F.lit(edge), F.lit(name))
-    return band.otherwise(F.lit(LAST_BAND))
+def _available(have: set[str], rules: dict[str, tuple[tuple[str, ...], str]]) -> dict[str, str]:
+    return {name: text for name, (inputs, text) in rules.items() if have.issuperset(inputs)}
 
 
-def duration_features(have: set[str]) -> dict[str, Column]:
-    d = F.col("duration").cast("double")
-    return _pick(have, [
-        ("duration_band", ["duration"], lambda: duration_band(d)),
+def traffic_rates(have: set[str]) -> dict[str, str]:
+    ratio = per("src_bytes", "dst_bytes")
+    return _available(have, {
+        "src_byte_rate": (("src_bytes", "duration"), per("src_bytes", "duration")),
+        "dst_byte_rate": (("dst_bytes", "duration"), per("dst_bytes", "duration")),
+        "total_bytes": (("src_bytes", "dst_bytes"), "src_bytes + dst_bytes"),
+        "byte_ratio": (("src_bytes", "dst_bytes"), ratio),
+        "is_upload_heavy": (("src_bytes", "dst_bytes"), flag(f"{ratio} > 1e0 AND NOT isnan({ratio})")),
+        "packet_rate": (("count", "duration"), per("count", "duration")),
+        "srv_packet_rate": (("srv_count", "duration"), per("srv_count", "duration")),
+    })
+
+
+def connection_ratios(have: set[str]) -> dict[str, str]:
+    return _available(have, {
+        "srv_count_ratio": (("srv_count", "count"), per("srv_count", "count")),
+        "dst_host_srv_ratio": (("dst_host_srv_count", "dst_host_count"), per("dst_host_srv_count", "dst_host_count")),
+        "error_rate_total": (("serror_rate", "rerror_rate"), "serror_rate + rerror_rate"),
+        "dst_host_error_rate_total": (
+            ("dst_host_serror_rate", "dst_host_rerror_rate"), "dst_host_serror_rate + dst_host_rerror_rate"),
+        "srv_diversity": (("diff_srv_rate", "same_srv_rate"), "diff_srv_rate - same_srv_rate"),
+    })
+
+
+def duration_features(have: set[str]) -> dict[str, str]:
+    d = "cast(duration AS double)"
+    return _available(have, {
+        "duration_band": (("duration",), duration_band(d)),
         # greatest() skips null, so the null case is spelled out.
-        ("log_duration", ["duration"], lambda: F.when(d.isNotNull(), F.log1p(F.greatest(d, F.lit(0.0))))),
-    ])
+        "log_duration": (("duration",), f"CASE WHEN duration IS NOT NULL THEN log1p(greatest({d}, 0e0)) END"),
+    })
 
 
-def security_indicators(have: set[str]) -> dict[str, Column]:
-    out: dict[str, Column] = {}
+def security_indicators(have: set[str]) -> dict[str, str]:
+    out = {}
     inputs = [c for c in PRIVILEGE_INPUTS if c in have]
     if inputs:
-        total = F.coalesce(F.col(inputs[0]), F.lit(0))
-        for c in inputs[1:]:
-            total = total + F.coalesce(F.col(c), F.lit(0))
-        out["privilege_activity"] = total
-        out["has_privilege_activity"] = flag(total > 0)
-    failed, signed_in = F.col("num_failed_logins"), F.col("logged_in")
-    out.update(_pick(have, [
-        ("failed_login_flag", ["num_failed_logins"], lambda: flag(failed > 0)),
-        ("suspicious_auth", ["num_failed_logins", "logged_in"],
-         lambda: flag((failed > 0) & (signed_in == 0))),
-        ("file_activity", ["num_file_creations", "num_access_files"],
-         lambda: F.col("num_file_creations") + F.col("num_access_files")),
-    ]))
+        total = " + ".join(f"coalesce({c}, 0)" for c in inputs)
+        out = {"privilege_activity": total, "has_privilege_activity": flag(f"{total} > 0")}
+    out.update(_available(have, {
+        "failed_login_flag": (("num_failed_logins",), flag("num_failed_logins > 0")),
+        "suspicious_auth": (("num_failed_logins", "logged_in"), flag("num_failed_logins > 0 AND logged_in = 0")),
+        "file_activity": (("num_file_creations", "num_access_files"), "num_file_creations + num_access_files"),
+    }))
     return out
 
 
-def interarrival_stats(have: set[str]) -> dict[str, Column]:
-    return _pick(have, [
-        ("mean_interarrival", ["duration", "count"], lambda: per("duration", "count")),
-        ("mean_srv_interarrival", ["duration", "srv_count"], lambda: per("duration", "srv_count")),
-        ("interarrival_gap", ["duration", "count", "srv_count"],
-         lambda: F.abs(per("duration", "srv_count") - per("duration", "count"))),
-    ])
+def interarrival_stats(have: set[str]) -> dict[str, str]:
+    all_flows, same_service = per("duration", "count"), per("duration", "srv_count")
+    return _available(have, {
+        "mean_interarrival": (("duration", "count"), all_flows),
+        "mean_srv_interarrival": (("duration", "srv_count"), same_service),
+        "interarrival_gap": (("duration", "count", "srv_count"), f"abs({same_service} - {all_flows})"),
+    })
 
 
 STEPS = [traffic_rates, connection_ratios, duration_features, security_indicators, interarrival_stats]
 
 
+def derived_names(have, steps=None) -> list[str]:
+    return [name for step in steps or STEPS for name in step(set(have))]
+
+
 def add_features(df: DataFrame, step) -> DataFrame:
-    """Apply one step (any function from column names to ``{name: Column}``) without zero-filling."""
+    """Apply one step without zero-filling."""
     made = step(set(df.columns))
-    return df.withColumns(made) if made else df
-
-
-def engineer(df: DataFrame, steps=None) -> DataFrame:
-    """All derived features, then zero in place of missing in every numeric column, raw ones too."""
-    made: dict[str, Column] = {}
-    for step in steps or STEPS:
-        made.update(step(set(df.columns)))
-    wide = df.withColumns(made) if made else df
-    fractional = set(fractional_columns(wide))
-    fills = {
-        c: finite_or_zero(F.col(c)) if c in fractional else F.coalesce(F.col(c), F.lit(0))
-        for c in numeric_columns(wide)
-    }
-    types = dict(wide.dtypes)
-    return wide.select(*[fills[c].cast(types[c]).alias(c) if c in fills else F.col(c) for c in wide.columns])
+    kept = [quoted(c) for c in df.columns if c not in made]
+    return df.selectExpr(*kept, *[f"{text} AS {quoted(name)}" for name, text in made.items()])
+
+
+def engineer(df: DataFrame, steps=None, untouched=()) -> DataFrame:
+    """All derived features, then zero in place of missing in every numeric column, raw ones too.
+
+    ``untouched`` columns (ids, times) are passed through as they are.
+    """
+    have = set(df.columns) - set(untouched)
+    wide = add_features(df, lambda _: {n: t for step in steps or STEPS for n, t in step(have).items()})
+    fractional, numeric = set(fractional_columns(wide)), set(numeric_columns(wide, untouched))
+
+    def filled(name: str) -> str:
+        c = quoted(name)
+        if name not in numeric:
+            return c
+        if name in fractional:
+            return f"CASE WHEN {finite_test(c)} THEN {c} ELSE 0 END AS {c}"
+        return f"coalesce({c}, 0) AS {c}"
+
+    return wide.selectExpr(*[filled(c) for c in wide.columns])

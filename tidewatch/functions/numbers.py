@@ -1,7 +1,8 @@
 """Null-safe numeric expressions.
 
-The missing marker is null. NaN and the infinities of a source become null on the way in
-(``finite``), because Spark orders NaN above every number and treats NaN as equal to itself.
+The missing marker is null. NaN and the infinities of a source become null on the way in, because
+Spark orders NaN above every number and treats NaN as equal to itself. Rules that apply to every
+column of a wide table are SQL text, so that a table of any width is one ``selectExpr``.
 """
 
 from __future__ import annotations
@@ -10,20 +11,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-INFINITY = float("inf")
 
+def finite_test(value: str) -> str:
+    """SQL text: known, not NaN and not infinite."""
+    return f"({value} IS NOT NULL AND NOT isnan({value}) AND abs({value}) < double('Infinity'))"
 
-def is_finite(c: Column) -> Column:
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(INFINITY))
 
+def finite_text(value: str) -> str:
+    return f"CASE WHEN {finite_test(value)} THEN {value} END"
 
-def finite(c: Column) -> Column:
-    """``c``, with NaN and the infinities turned into null."""
-    return F.when(is_finite(c), c)
 
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
 
-def finite_or_zero(c: Column) -> Column:
-    return F.when(is_finite(c), c).otherwise(F.lit(0.0))
+
+def is_finite(name: str) -> Column:
+    return F.expr(finite_test(quoted(name)))
 
 
 def numeric_columns(df: DataFrame, skip=()) -> list[str]:
@@ -44,10 +47,13 @@ def fractional_columns(df: DataFrame) -> list[str]:
 
 def missing_to_null(df: DataFrame) -> DataFrame:
     """Turn NaN and the infinities of all fractional columns into null."""
-    fixes = {c: finite(F.col(c)) for c in fractional_columns(df)}
-    return df.withColumns(fixes) if fixes else df
+    fractional = set(fractional_columns(df))
+    return df.selectExpr(*[
+        f"{finite_text(quoted(c))} AS {quoted(c)}" if c in fractional else quoted(c) for c in df.columns
+    ])
 
 
 def to_number(c: Column) -> Column:
-    """Coerce to double; text that is no number becomes null."""
-    return finite(c.try_cast("double"))
+    """Coerce to double; text that is no number becomes null, and so do NaN and the infinities."""
+    value = c.try_cast("double")
+    return F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)

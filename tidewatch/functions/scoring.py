@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.errors import FlowDataError
 from tidewatch.functions.columns import ESCALATED_CLASSES, HARMLESS, SEVERITIES, SEVERITY_THRESHOLDS, SUMMARY_FIELDS
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once however often ``use`` refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def softmax(scores: Column) -> Column:
     """Probabilities of an array of decision scores; a single score ``s`` counts as ``(-s, s)``."""
-    pair = F.when(F.size(scores) == 1, F.array(-scores[0], scores[0])).otherwise(scores)
-    top = F.array_max(pair)
-    raised = F.transform(pair, lambda s: F.exp(s - top))
-    total = F.aggregate(raised, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(raised, lambda e: e / total)
+
+    def shares(pair):
+        raised = bind(F.array_max(pair), lambda top: F.transform(pair, lambda s: F.exp(s - top)))
+        return bind(raised, lambda e: bind(
+            F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda v: v / total)))
+
+    return bind(scores, lambda s: bind(F.when(F.size(s) == 1, F.array(-s[0], s[0])).otherwise(s), shares))
+
+
+def computed_once(df: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
+    """``keep`` plus the computed columns, behind a one-element explode.
+
+    Filters move below projections by copying the expressions they mention. A model's score mentioned
+    by grading, alerting and throttling would be copied into each; a generator's output is not.
+    """
+    packed = F.explode(F.array(F.struct(*[v.alias(n) for n, v in columns.items()]))).alias("_once")
+    return df.select(*keep, packed).select(*keep, *[F.col(f"_once.{n}").alias(n) for n in columns])
 
 
 def best_class(probabilities: Column, classes: list[str]) -> Column:
     """Name of the largest entry, the first one on ties."""
-    at = F.array_position(probabilities, F.array_max(probabilities)).cast("int")
-    return F.element_at(F.array(*[F.lit(c) for c in classes]), at)
+    at = F.array_position(probabilities, F.array_max(probabilities)) - 1
+    return F.get(F.array(*[F.lit(c) for c in classes]), at.cast("int"))
 
 
 def probability_map(probabilities: Column, classes: list[str]) -> Column:
@@ -61,7 +78,8 @@ def severity_rank(confidence: Column, predicted: Column, thresholds: dict[str, f
 
 
 def severity_name(rank: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), (rank + 1).cast("int"))
+    # get(), because element_at() answers a null index on a constant array with the last element.
+    return F.get(F.array(*[F.lit(s) for s in SEVERITIES]), rank.cast("int"))
 
 
 def alert_message(predicted: Column, confidence: Column, summary: Column | None) -> Column:

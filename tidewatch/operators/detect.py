@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.errors import FlowDataError
 from tidewatch.functions.columns import SUMMARY_FIELDS
-from tidewatch.functions.flow_features import STEPS, engineer
-from tidewatch.functions.scoring import best_class, flow_summary, is_attack, probability_map
+from tidewatch.functions.flow_features import derived_names, engineer
+from tidewatch.functions.scoring import best_class, computed_once, flow_summary, is_attack, probability_map
 from tidewatch.operators.encode import decode_label
 from tidewatch.operators.train import FEATURES, scored
 
@@ -21,14 +21,16 @@ def shape_detections(
     threshold: float = THRESHOLD, keep=(), raw_columns: list[str] | None = None,
 ) -> DataFrame:
     """Result columns of scored rows: class, confidence, attack flag, probability map, flow summary."""
-    named = df.withColumn("_p", probabilities)
-    label = predicted if predicted is not None else best_class(F.col("_p"), classes)
     summary = flow_summary([c for c in SUMMARY_FIELDS if c in (raw_columns if raw_columns is not None else df.columns)])
-    return named.withColumns({"predicted_class": label, "confidence": F.array_max("_p")}).select(
+    once = computed_once(df.withColumn("_summary", summary), [*keep, "_summary"], {
+        "_p": probabilities, **({} if predicted is None else {"_label": predicted})})
+    label = best_class(F.col("_p"), classes) if predicted is None else F.col("_label")
+    named = computed_once(once, [*keep, "_summary", "_p"], {"predicted_class": label, "confidence": F.array_max("_p")})
+    return named.select(
         *keep, "predicted_class", "confidence",
         is_attack(F.col("predicted_class"), F.col("confidence"), threshold).alias("is_attack"),
         probability_map(F.col("_p"), classes).alias("class_probabilities"),
-        summary.alias("flow_summary"),
+        F.col("_summary").alias("flow_summary"),
     )
 
 
@@ -48,10 +50,7 @@ class Detector:
         if encoder is None:
             return 0, 0
         absent = [c for c in encoder.state.defaults if c not in columns]
-        derived = set()
-        if self.derive:
-            for step in STEPS:
-                derived.update(step(set(columns)))
+        derived = set(derived_names(columns)) if self.derive else set()
         return len(absent), len([c for c in absent if c not in derived])
 
     def prepare(self, df: DataFrame, keep=()) -> DataFrame:
@@ -60,7 +59,7 @@ class Detector:
         if encoder is not None and self.fill_missing:
             held = encoder.fill_defaults(held)
         if self.derive:
-            held = _engineer_beside(held, [f"_keep_{c}" for c in keep])
+            held = engineer(held, untouched=[f"_keep_{c}" for c in keep])
         if encoder is not None:
             unknown = [c for c in wanted if c not in encoder.state.features]
             if unknown:
@@ -94,10 +93,3 @@ class Detector:
         every, raw = self.defaulted(df.columns)
         return shaped.withColumn("defaulted_features", F.lit(every)).withColumn("defaulted_raw", F.lit(raw))
 
-
-def _engineer_beside(df: DataFrame, aside: list[str]) -> DataFrame:
-    """Derive features without zero-filling the set-aside columns."""
-    if not aside:
-        return engineer(df)
-    packed = df.withColumn("_aside", F.struct(*aside)).drop(*aside)
-    return engineer(packed).select("*", *[F.col(f"_aside.{c}").alias(c) for c in aside]).drop("_aside")

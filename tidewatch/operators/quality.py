@@ -106,7 +106,7 @@ def record_violations(df: DataFrame, expected: list[str]) -> DataFrame:
             continue
         tests.append((f"{c} is null", F.col(c).isNull()))
         if c in numeric:
-            tests.append((f"{c} is not finite", F.col(c).isNotNull() & ~is_finite(F.col(c))))
+            tests.append((f"{c} is not finite", F.col(c).isNotNull() & ~is_finite(c)))
     return df.withColumn("violations", _violations(tests))
 
 

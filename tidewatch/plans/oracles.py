@@ -258,7 +258,7 @@ def all_oracles() -> dict[str, str]:
     later = []
     for j, b in enumerate(RANKED):
         tests = [f"abs({_corr(a, b)}) > 0.9" for a in RANKED[:j]]
-        later.append(f"SELECT '{b}' AS feature, {j} AS place, {' OR '.join(tests) if tests else 'false'} AS gone FROM ix")
+        later.append(f"SELECT '{b}' AS feature, {j} AS place, {' OR '.join(tests) if tests else 'count(*) < 0'} AS gone FROM ix")
     gone = " UNION ALL ".join(later)
     return {
         "engineer_features": f"WITH {ENG} SELECT flow_id, " + ", ".join(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import CATEGORICAL, CLASS_MIX, FEATURES, NUMERIC
-from tidewatch.functions.flow_features import STEPS, duration_band, engineer
+from tidewatch.functions.flow_features import derived_names, duration_band, engineer
 from tidewatch.functions.numbers import to_number
 from tidewatch.operators import alerts as al
 from tidewatch.operators import encode as en
@@ -25,6 +25,7 @@ from tidewatch.sources.flow_view import flows, raw_flows
 from tidewatch.streaming import rolling as ro
 
 SIX_HOURS = 6 * 3600
+IDS = ["flow_id", "ts_us", "stream_key"]
 COARSE = ["protocol_type", "service", "flag", "land", "urgent", "logged_in", "hot", "num_shells", "num_outbound_cmds", "label"]
 RANKED = ["duration", "src_bytes", "dst_bytes", "count", "srv_count", "serror_rate", "srv_serror_rate", "rerror_rate",
           "same_srv_rate", "diff_srv_rate", "dst_host_count", "total_bytes", "packet_rate", "error_rate_total",
@@ -47,7 +48,7 @@ def big(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def engineered(spark: SparkSession, d: str) -> DataFrame:
-    return engineer(flows(spark, d))
+    return engineer(flows(spark, d), untouched=IDS)
 
 
 def detections(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +66,7 @@ def engineer_features(spark, d):
     df = engineered(spark, d)
     kinds = dict(df.dtypes)
     out = []
-    for c in sorted({name for step in STEPS for name in step(set(FEATURES))}):
+    for c in sorted(derived_names(FEATURES)):
         if kinds[c] == "double":
             out.append(F.round(c, 2 if c in ("byte_ratio", "src_byte_rate", "dst_byte_rate") else 6).alias(c))
         else:
@@ -78,7 +79,7 @@ def zero_filled_inputs(spark, d):
 
 
 def duration_band_counts(spark, d):
-    return flows(spark, d).groupBy(duration_band(F.col("duration")).alias("duration_band")).agg(F.count(F.lit(1)).alias("n"))
+    return flows(spark, d).groupBy(F.expr(duration_band()).alias("duration_band")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- quality ----------------------------------------------------------------------------------

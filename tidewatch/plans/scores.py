@@ -30,11 +30,8 @@ SUMMARY = ["duration", "protocol_type", "service", "flag", "src_bytes", "dst_byt
 
 def score_flows(flows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Detections of a flow table, with ``flow_id, ts_us, label`` and ``p_<class>`` columns in front."""
-    ready = engineer(flows)
+    ready = engineer(flows, untouched=KEEP)
     scores = F.array(*[F.expr(f"cast({SCORES[c]} AS double)") for c in CLASSES])
-    scored = ready.select(*KEEP, *SUMMARY, softmax(scores).alias("probabilities"))
-    singles = scored.withColumns({f"p_{c}": F.col("probabilities")[i] for i, c in enumerate(CLASSES)})
-    return shape_detections(
-        singles, CLASSES, F.col("probabilities"), threshold=threshold, keep=[*KEEP, *[f"p_{c}" for c in CLASSES]],
-        raw_columns=SUMMARY,
-    )
+    scored = ready.select(*KEEP, *SUMMARY, scores.alias("_z"))
+    shaped = shape_detections(scored, CLASSES, softmax(F.col("_z")), threshold=threshold, keep=KEEP, raw_columns=SUMMARY)
+    return shaped.withColumns({f"p_{c}": F.col("class_probabilities")[c] for c in CLASSES})

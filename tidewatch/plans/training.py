@@ -60,7 +60,7 @@ def train_plan(
     if fit_on not in ("all", "train"):
         raise FlowDataError("fit_on must be 'all' or 'train'")
     constant_free = clean(flows.drop(*ignore), target)
-    table = settle(split_rows(engineer_but(constant_free, id_column), id_column, target, test_size, val_size, seed))
+    table = settle(split_rows(engineer(constant_free, untouched=[id_column]), id_column, target, test_size, val_size, seed))
     seen = (table if fit_on == "all" else table.filter("split = 'train'")).drop("split")
     encoder: EncoderModel = FlowEncoder(target, drop=[id_column]).fit(seen)
     classes = encoder.state.classes
@@ -89,12 +89,6 @@ def train_plan(
     return result
 
 
-def engineer_but(df: DataFrame, id_column: str) -> DataFrame:
-    """Derived features, with the id left as it is."""
-    return engineer(df.withColumn("_id", F.struct(id_column)).drop(id_column)).select(
-        F.col(f"_id.{id_column}").alias(id_column), "*").drop("_id")
-
-
 def evaluate_plan(
     spark: SparkSession, flows: DataFrame, root: str, path: str | None = None, sample: int = 0, target: str = "label",
     id_column: str = "flow_id", ignore=("ts_us", "stream_key"), seed: int = 42,
@@ -107,7 +101,7 @@ def evaluate_plan(
     if bundle.encoder is None:
         raise FlowDataError("the registered model has no encoder")
     rows = sample_rows(flows, id_column, sample, seed) if sample else flows
-    table = engineer_but(clean(rows.drop(*ignore), target, drop_constants=False), id_column)
+    table = engineer(clean(rows.drop(*ignore), target, drop_constants=False), untouched=[id_column])
     bundle.encoder.check_labels(table)
     matrix = bundle.encoder.transform_features(
         table.withColumn(LABEL, bundle.encoder.label_index()), keep=[id_column, LABEL], columns=bundle.features)
