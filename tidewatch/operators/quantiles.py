@@ -39,32 +39,35 @@ def exact_quantiles(
 
 def _inline(df, columns, probs, by):
     wanted = F.array(*[F.lit(float(p)) for p in probs])
-    rows = df.groupBy(*by).agg(*[F.percentile(F.col(c).cast("double"), wanted).alias(c) for c in columns])
-    entry = [
-        F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("prob"), F.col(c)[i].alias("value"))
-        for c in columns for i, p in enumerate(probs)
-    ]
-    return rows.select(*by, F.explode(F.array(*entry)).alias("_e")).select(*by, "_e.*")
+    rows = df.groupBy(*by).agg(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.percentile(F.col(c).cast("double"), wanted).alias("value")) for c in columns
+    ]).alias("_c"))
+    return (
+        rows.select(*by, F.explode("_c").alias("_c"))
+        .select(*by, "_c.column", F.posexplode_outer(F.coalesce("_c.value", F.array_repeat(F.lit(None).cast("double"), len(probs)))))
+        .select(*by, "column", F.get(wanted, F.col("pos")).alias("prob"), F.col("col").alias("value"))
+    )
 
 
 def _bracketed(df, columns, probs, by, spread):
     low = F.array(*[F.lit(max(0.0, p - spread)) for p in probs])
     high = F.array(*[F.lit(min(1.0, p + spread)) for p in probs])
     value = {c: F.col(c).cast("double") for c in columns}
-    sketch = df.groupBy(*by).agg(*[
+    sketch = df.groupBy(*by).agg(F.array(*[
         F.struct(
-            F.count(value[c]).alias("n"),
+            F.lit(c).alias("column"),
+            F.count(value[c]).alias("_n"),
             F.percentile_approx(value[c], low, _ACCURACY).alias("low"),
             F.percentile_approx(value[c], high, _ACCURACY).alias("high"),
-        ).alias(c)
+        )
         for c in columns
-    ])
+    ]).alias("_c"))
     sketch = settle(sketch)  # one row per group; read by each of the next steps
-    brackets = sketch.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("prob"), F.col(c).n.alias("_n"),
-                 F.col(c).low[i].alias("_low"), F.col(c).high[i].alias("_high"))
-        for c in columns for i, p in enumerate(probs)
-    ])).alias("_e")).select(*by, "_e.*")
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    brackets = sketch.select(*by, F.explode("_c").alias("_c")).select(
+        *by, "_c.column", "_c._n", F.explode(F.arrays_zip(
+            wanted.alias("prob"), F.col("_c.low").alias("_low"), F.col("_c.high").alias("_high"))).alias("_e")
+    ).select(*by, "column", F.col("_e.prob").alias("prob"), "_n", F.col("_e._low").alias("_low"), F.col("_e._high").alias("_high"))
     values = df.select(*by, F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), value[c].alias("_v")) for c in columns
     ])).alias("_e")).select(*by, "_e.*").filter(F.col("_v").isNotNull())

@@ -61,15 +61,13 @@ def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int
     for r in exact_quantiles(df, columns, probs).orderBy("column", "prob").collect():
         if r["value"] is not None and r["value"] not in edges[r["column"]]:
             edges[r["column"]].append(r["value"])
-    cells = []
-    for c in columns:
-        v = F.col(c).cast("double")
-        place = F.lit(0)
-        for edge in edges[c]:
-            place = place + (v > F.lit(edge)).cast("int")
-        cells.append(F.struct(F.lit(c).alias("feature"), place.alias("bin")))
-    counts = df.select(F.col(target).alias("class"), F.explode(F.array(*cells)).alias("_e")).select("class", "_e.*") \
-        .groupBy("feature", "bin", "class").agg(F.count(F.lit(1)).alias("n"))
+    # One row per feature, so the broadcast is bounded by the width of the table.
+    bounds = F.broadcast(df.sparkSession.createDataFrame(list(edges.items()), "feature string, _edges array<double>"))
+    values = df.select(F.col(target).alias("class"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("_v")) for c in columns
+    ])).alias("_e")).select("class", "_e.*")
+    place = F.size(F.filter("_edges", lambda edge: edge < F.col("_v")))
+    counts = values.join(bounds, "feature").groupBy("feature", place.alias("bin"), "class").agg(F.count(F.lit(1)).alias("n"))
     # From here on: features x bins x classes rows.
     by_bin = counts.groupBy("feature", "bin").agg(F.sum("n").alias("n_bin"), F.collect_list(F.struct("class", "n")).alias("_l"))
     by_class = counts.groupBy("feature", "class").agg(F.sum("n").alias("n_class"))

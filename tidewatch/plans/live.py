@@ -14,7 +14,7 @@ def replay_events(spark: SparkSession, folder: str, state: str, window_seconds:
     """Run a file stream over ``events.parquet`` to its end; returns the alerts its sink received."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    events = flow_stream(spark, f"{folder}/events.parquet", schema)
+    events = flow_stream(spark, folder, schema, pattern="events.parquet")
     fanout = Fanout(spark, {"log": parquet_log(f"{state}/alerts")})
     stream = AlertStream(spark, f"{state}/run", score_flows, fanout, window_seconds=window_seconds, limit=limit)
     query = stream.start(flows_of(events))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidewatch.functions.columns import CATEGORICAL, CLASS_MIX, FEATURES, NUMERIC
-from tidewatch.plans.queries import COARSE, IMPUTED, LINE_NUMBERS, RANKED, SCALED, SIX_HOURS
+from tidewatch.plans.queries import COARSE, IMPUTED, LINE_NUMBERS, RANKED, SCALED, ONE_DAY
 from tidewatch.plans.scores import CLASSES, SCORES
 from tidewatch.sources.flow_view import FRACTION, column_text
 
@@ -248,7 +248,7 @@ def _round_for(c):
 
 _CONST = " UNION ALL ".join(
     f"SELECT '{c}' AS feature FROM flows HAVING count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) <= 1" for c in FEATURES)
-_THROTTLE = throttled(SIX_HOURS * 1_000_000, 5)
+_THROTTLE = throttled(ONE_DAY * 1_000_000, 5)
 _LABEL_PAIRS = "prs AS (SELECT quality AS truth, toxic AS predicted, count(*) AS n FROM labels GROUP BY ALL)"
 _VARIED = [c for c in COARSE if c not in ("urgent", "num_outbound_cmds")]
 
@@ -349,7 +349,7 @@ def all_oracles() -> dict[str, str]:
         "stream_alerts": f"{_THROTTLE} SELECT flow_id, throttle_key, count_in_window FROM fold WHERE allowed",
         "throttle_decisions": f"{_THROTTLE} SELECT flow_id, throttle_key, allowed, count_in_window, suppressed_total FROM fold WHERE place > 0",
         "suppressed_totals": f"{_THROTTLE} SELECT throttle_key, count(*) AS candidates, count(CASE WHEN allowed THEN 1 END) AS allowed, count(CASE WHEN NOT allowed THEN 1 END) AS suppressed FROM fold WHERE place > 0 GROUP BY throttle_key",
-        "alerts_sent": throttled(SIX_HOURS * 1_000_000, 3, "severity_rank >= 1") + "SELECT s AS severity, (SELECT count(*) FROM fold WHERE allowed AND severity = s) AS n FROM (SELECT unnest(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL']) AS s)",
+        "alerts_sent": throttled(ONE_DAY * 1_000_000, 3, "severity_rank >= 1") + "SELECT s AS severity, (SELECT count(*) FROM fold WHERE allowed AND severity = s) AS n FROM (SELECT unnest(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL']) AS s)",
         "rolling_stats": f"WITH {LAST} SELECT count(*) AS processed, count(CASE WHEN is_attack THEN 1 END) AS attacks, round(avg(CASE WHEN is_attack THEN 1e0 ELSE 0e0 END), 4) AS attack_rate, "
                          f"round(avg(confidence), 4) AS mean_confidence, {_TREND} AS trending_class FROM win",
         "rolling_class_counts": f"WITH {LAST} SELECT predicted_class, count(*) AS n FROM win GROUP BY predicted_class",

@@ -24,7 +24,7 @@ from tidewatch.plans.scores import CLASSES, score_flows
 from tidewatch.sources.flow_view import flows, raw_flows
 from tidewatch.streaming import rolling as ro
 
-SIX_HOURS = 6 * 3600
+ONE_DAY = 24 * 3600
 IDS = ["flow_id", "ts_us", "stream_key"]
 COARSE = ["protocol_type", "service", "flag", "land", "urgent", "logged_in", "hot", "num_shells", "num_outbound_cmds", "label"]
 RANKED = ["duration", "src_bytes", "dst_bytes", "count", "srv_count", "serror_rate", "srv_serror_rate", "rerror_rate",
@@ -403,20 +403,20 @@ def alert_counters(spark, d):
 
 
 def throttle_alerts(spark, d):
-    return th.dispatched(candidates(spark, d), SIX_HOURS, 5).select("flow_id", "throttle_key", "count_in_window")
+    return th.dispatched(candidates(spark, d), ONE_DAY, 5).select("flow_id", "throttle_key", "count_in_window")
 
 
 def throttle_decisions(spark, d):
-    return th.decisions(candidates(spark, d), SIX_HOURS, 5).select("flow_id", "throttle_key", "allowed", "count_in_window", "suppressed_total")
+    return th.decisions(candidates(spark, d), ONE_DAY, 5).select("flow_id", "throttle_key", "allowed", "count_in_window", "suppressed_total")
 
 
 def suppressed_totals(spark, d):
-    return th.suppressed_totals(candidates(spark, d), SIX_HOURS, 5)
+    return th.suppressed_totals(candidates(spark, d), ONE_DAY, 5)
 
 
 def alerts_sent(spark, d):
     """The whole alert path: grade, minimum severity, throttle, then counts by severity."""
-    return al.severity_counts(al.handle(detections(spark, d), min_severity="MEDIUM", window_seconds=SIX_HOURS, limit=3))
+    return al.severity_counts(al.handle(detections(spark, d), min_severity="MEDIUM", window_seconds=ONE_DAY, limit=3))
 
 
 # ---- stream statistics ------------------------------------------------------------------------
@@ -463,7 +463,7 @@ def stream_alerts(spark, d):
     """The alert stream over the events file: same rows as ``throttle_alerts``."""
     from tidewatch.plans.live import replay_events
 
-    return replay_events(spark, d, _scratch(spark), SIX_HOURS, 5).select("flow_id", "throttle_key", "count_in_window")
+    return replay_events(spark, d, _scratch(spark), ONE_DAY, 5).select("flow_id", "throttle_key", "count_in_window")
 
 
 # ---- models -----------------------------------------------------------------------------------
@@ -484,26 +484,40 @@ def pca_projection(spark, d):
     return pr.pca_projection(df, RANKED, ["flow_id", "label"])[0]
 
 
+MODEL_INPUTS = ["duration", "protocol_type", "flag", "src_bytes", "dst_bytes", "wrong_fragment", "num_failed_logins", "count",
+                "serror_rate", "rerror_rate", "same_srv_rate", "num_compromised", "is_guest_login"]
+
+
+def model_flows(spark, d) -> DataFrame:
+    return flows(spark, d).select("flow_id", "ts_us", "stream_key", *MODEL_INPUTS, "label")
+
+
+def _one_model(spark, d, root):
+    from tidewatch.plans.training import QUICK_MODELS, train_plan
+
+    models = {"logistic_regression": QUICK_MODELS["logistic_regression"]}
+    return train_plan(spark, model_flows(spark, d), root, models=models, folds=2, top_k=10, method="correlation")
+
+
 def train_compare(spark, d):
     from tidewatch.plans.training import QUICK_MODELS, train_plan
 
-    return train_plan(spark, flows(spark, d), None, models=QUICK_MODELS, folds=2, top_k=12)["comparison"]
+    return train_plan(spark, model_flows(spark, d), None, models=QUICK_MODELS, folds=2, top_k=10)["comparison"]
 
 
 def evaluate_saved(spark, d):
-    from tidewatch.plans.training import QUICK_MODELS, evaluate_plan, train_plan
+    from tidewatch.plans.training import evaluate_plan
 
     root = _scratch(spark)
-    train_plan(spark, flows(spark, d), root, models={"logistic_regression": QUICK_MODELS["logistic_regression"]}, folds=2, top_k=12)
-    return evaluate_plan(spark, flows(spark, d), root)["metrics"]
+    _one_model(spark, d, root)
+    return evaluate_plan(spark, model_flows(spark, d), root)["metrics"]
 
 
 def registry_list(spark, d):
-    from tidewatch.plans.training import QUICK_MODELS, train_plan
     from tidewatch.sources.registry import ModelRegistry
 
     root = _scratch(spark)
-    train_plan(spark, flows(spark, d), root, models={"logistic_regression": QUICK_MODELS["logistic_regression"]}, folds=2, top_k=8)
+    _one_model(spark, d, root)
     return ModelRegistry(spark, root).list_models()
 
 

@@ -26,10 +26,13 @@ WINDOW_SCHEMA = "ts_us bigint, flow_id bigint, predicted_class string, confidenc
 TOTALS_SCHEMA = "total_processed bigint, total_attacks bigint"
 
 
-def flow_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int = 1) -> DataFrame:
-    """A folder of flow files as a stream of micro-batches."""
+def flow_stream(
+    spark: SparkSession, folder: str, schema, fmt: str = "parquet", files_per_trigger: int = 1, pattern: str | None = None
+) -> DataFrame:
+    """A folder of flow files (those named like ``pattern``) as a stream of micro-batches."""
     check_positive(files_per_trigger, "files per trigger")
-    return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_trigger).load(path)
+    reader = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_trigger)
+    return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(folder)
 
 
 class AlertStream:
