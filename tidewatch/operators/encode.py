@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.errors import FlowDataError, need_columns
-from tidewatch.functions.numbers import categorical_columns, numeric_columns, to_number
+from tidewatch.functions.numbers import categorical_columns, missing_to_null, numeric_columns, to_number
 from tidewatch.operators.quality import check_table, unknown_labels
 from tidewatch.operators.quantiles import medians
 
@@ -149,7 +149,7 @@ class FlowEncoder(Estimator):
         self.target, self.scaler, self.drop, self.max_levels = target, scaler, list(drop), max_levels
 
     def _fit(self, df: DataFrame) -> EncoderModel:
-        check_table(df, [self.target])
+        df = missing_to_null(check_table(df, [self.target]))
         skip = {self.target, *self.drop}
         numeric, categorical = numeric_columns(df, skip), categorical_columns(df, skip)
         if not numeric and not categorical:

@@ -64,9 +64,10 @@ def _bracketed(df, columns, probs, by, spread):
     ]).alias("_c"))
     sketch = settle(sketch)  # one row per group; read by each of the next steps
     wanted = F.array(*[F.lit(float(p)) for p in probs])
+    blank = F.array_repeat(F.lit(None).cast("double"), len(probs))  # a column without values
     brackets = sketch.select(*by, F.explode("_c").alias("_c")).select(
         *by, "_c.column", "_c._n", F.explode(F.arrays_zip(
-            wanted.alias("prob"), F.col("_c.low").alias("_low"), F.col("_c.high").alias("_high"))).alias("_e")
+            wanted.alias("prob"), F.coalesce("_c.low", blank).alias("_low"), F.coalesce("_c.high", blank).alias("_high"))).alias("_e")
     ).select(*by, "column", F.col("_e.prob").alias("prob"), "_n", F.col("_e._low").alias("_low"), F.col("_e._high").alias("_high"))
     values = df.select(*by, F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), value[c].alias("_v")) for c in columns
