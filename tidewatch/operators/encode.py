@@ -158,25 +158,24 @@ class FlowEncoder(Estimator):
         levels: dict[str, list[str]] = {c: [] for c in categorical}
         modes: dict[str, str] = {}
         counts: dict[tuple[str, str], int] = {}
-        total = df.count()
-        if categorical:
-            # One row per level; a column with more levels than max_levels cannot become columns.
-            bound = self.max_levels * len(categorical) + len(categorical)
-            rows = category_counts(df, categorical).limit(bound + 1).collect()
-            if len(rows) > bound:
-                raise FlowDataError(f"more than {self.max_levels} levels per categorical column")
-            for r in rows:
-                if r["level"] is not None:
-                    levels[r["column"]].append(r["level"])
-                    counts[r["column"], r["level"]] = r["n"]
-            for c in categorical:
-                levels[c].sort()
-                if not levels[c]:
-                    raise FlowDataError(f"categorical column {c} holds no value")
-                modes[c] = min(levels[c], key=lambda level: (-counts[c, level], level))
-        state = EncoderState(
-            self.target, self.scaler, numeric, categorical, middle, levels, modes, class_names(df, self.target)
-        )
+        # One row per level; a column with more levels than max_levels cannot become columns.
+        listed = [*categorical, self.target]
+        bound = (self.max_levels + 1) * len(listed)
+        rows = category_counts(df, listed).limit(bound + 1).collect()
+        if len(rows) > bound:
+            raise FlowDataError(f"more than {self.max_levels} levels per categorical column")
+        total = sum(r["n"] for r in rows if r["column"] == self.target)
+        classes = sorted(r["level"] for r in rows if r["column"] == self.target and r["level"] is not None)
+        for r in rows:
+            if r["column"] != self.target and r["level"] is not None:
+                levels[r["column"]].append(r["level"])
+                counts[r["column"], r["level"]] = r["n"]
+        for c in categorical:
+            levels[c].sort()
+            if not levels[c]:
+                raise FlowDataError(f"categorical column {c} holds no value")
+            modes[c] = min(levels[c], key=lambda level: (-counts[c, level], level))
+        state = EncoderState(self.target, self.scaler, numeric, categorical, middle, levels, modes, classes)
         if self.scaler != "none":
             facts = _moments(df, {c: F.coalesce(to_number(F.col(c)), F.lit(middle[c])) for c in numeric}) if numeric else {}
             for c in categorical:

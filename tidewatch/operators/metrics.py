@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.ordering import running_sums
-from tidewatch.session import small_side
+from tidewatch.session import listed_side, small_side
 
 
 def pair_counts(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -21,9 +21,9 @@ def confusion(df: DataFrame, truth: str, predicted: str, classes: list) -> DataF
     """The full class x class grid, zeros included, plus the row-normalised ``share``."""
     spark = df.sparkSession
     kind = dict(df.dtypes)[truth]
-    grid = spark.createDataFrame([(a, b) for a in classes for b in classes], f"truth {kind}, predicted {kind}")
+    grid = listed_side(spark, [(a, b) for a in classes for b in classes], f"truth {kind}, predicted {kind}")
     counts = pair_counts(df, truth, predicted)
-    full = small_side(grid).join(counts, ["truth", "predicted"], "left").select(
+    full = grid.join(counts, ["truth", "predicted"], "left").select(
         "truth", "predicted", F.coalesce("n", F.lit(0)).alias("n")
     )
     row_total = F.sum("n").over(Window.partitionBy("truth"))

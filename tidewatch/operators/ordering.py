@@ -17,9 +17,13 @@ _POSITION_BITS = 33  # monotonically_increasing_id keeps the partition above bit
 
 
 def ordered_parts(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` in range order, with its settled partition number and place in that partition."""
+    """``df`` in range order, with its settled partition number and place in that partition.
+
+    The rows are read twice, once to sample the ranges and once to spread them, so what may be an
+    expensive plan is settled first.
+    """
     numbered = (
-        df.repartitionByRange(*order)
+        settle(df).repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_id", F.monotonically_increasing_id())
     )

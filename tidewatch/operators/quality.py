@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tidewatch.errors import FlowDataError, check_positive, need_columns
 from tidewatch.functions.columns import BYTE_CAP
 from tidewatch.functions.numbers import is_finite, missing_to_null
-from tidewatch.session import small_side
+from tidewatch.session import listed_side
 
 
 def trim_names(df: DataFrame) -> DataFrame:
@@ -137,6 +137,6 @@ def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def unknown_labels(df: DataFrame, target: str, classes: list[str]) -> DataFrame:
     """Distinct labels outside ``classes``."""
     check_positive(len(classes), "number of classes")
-    known = df.sparkSession.createDataFrame([(str(c),) for c in classes], f"{target} string")
+    known = listed_side(df.sparkSession, [(str(c),) for c in classes], f"{target} string")
     seen = df.select(F.col(target).cast("string").alias(target)).distinct()
-    return seen.join(small_side(known), target, "left_anti")
+    return seen.join(known, target, "left_anti")

@@ -184,7 +184,11 @@ def decisions(
     candidates: DataFrame, window_seconds: float = THROTTLE_SECONDS, limit: int = THROTTLE_LIMIT,
     tick_us: int = TICK_MICROS, segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """Every candidate with ``allowed``, ``count_in_window`` and the key's ``suppressed_total`` so far."""
+    """``(flow_id, throttle_key, ts_us, allowed, count_in_window, suppressed_total)`` for every candidate.
+
+    ``suppressed_total`` is the key's count so far. ``flow_id`` is unique.
+    """
+    candidates = settle(candidates.select("flow_id", "throttle_key", "ts_us"))
     out = dispatched(candidates, window_seconds, limit, tick_us, segment_rows).select("flow_id", "count_in_window")
     # A held-back alert always meets a full log.
     marked = candidates.join(out, "flow_id", "left").withColumn("allowed", F.col("count_in_window").isNotNull()) \

@@ -59,8 +59,9 @@ def train_plan(
     """
     if fit_on not in ("all", "train"):
         raise FlowDataError("fit_on must be 'all' or 'train'")
-    constant_free = clean(flows.drop(*ignore), target)
-    table = settle(split_rows(engineer(constant_free, untouched=[id_column]), id_column, target, test_size, val_size, seed))
+    # Settled: deduplication shuffles the whole table, and all steps below read the result.
+    cleaned = settle(clean(flows.drop(*ignore), target))
+    table = engineer(split_rows(cleaned, id_column, target, test_size, val_size, seed), untouched=[id_column])
     seen = (table if fit_on == "all" else table.filter("split = 'train'")).drop("split")
     encoder: EncoderModel = FlowEncoder(target, drop=[id_column]).fit(seen)
     classes = encoder.state.classes

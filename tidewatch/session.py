@@ -65,6 +65,12 @@ def small_side(df: DataFrame, limit: int = SMALL_SIDE_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def listed_side(spark: SparkSession, rows: list, schema) -> DataFrame:
+    """A join side from rows at hand, broadcast while they are few."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= SMALL_SIDE_ROWS else table
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` exists on whatever file system its scheme names."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
