@@ -21,6 +21,7 @@ from tidewatch.operators import select as se
 from tidewatch.operators import throttle as th
 from tidewatch.operators.quantiles import exact_quantiles
 from tidewatch.plans.scores import CLASSES, score_flows
+from tidewatch.session import spread_small
 from tidewatch.sources.flow_view import flows, raw_flows
 from tidewatch.streaming import rolling as ro
 
@@ -47,6 +48,10 @@ def big(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("bigint") for c in columns})
 
 
+def lineitems(spark: SparkSession, d: str) -> DataFrame:
+    return spread_small(spark.read.parquet(f"{d}/lineitem.parquet"))
+
+
 def engineered(spark: SparkSession, d: str) -> DataFrame:
     return engineer(flows(spark, d), untouched=IDS)
 
@@ -106,7 +111,7 @@ def duplicate_count(spark, d):
 
 
 def duplicate_lineitems(spark, d):
-    items = spark.read.parquet(f"{d}/lineitem.parquet")
+    items = lineitems(spark, d)
     return pr.duplicate_count(items.select("l_orderkey", "l_linenumber"))
 
 
@@ -116,7 +121,7 @@ def describe_numeric(spark, d):
 
 
 def describe_lineitem(spark, d):
-    out = pr.describe(spark.read.parquet(f"{d}/lineitem.parquet"), LINE_NUMBERS).withColumnRenamed("column", "feature")
+    out = pr.describe(lineitems(spark, d), LINE_NUMBERS).withColumnRenamed("column", "feature")
     return rounded(out, mean=4, std=4, min=4, q25=4, q50=4, q75=4, max=4)
 
 
@@ -273,7 +278,7 @@ def correlation_pairs(spark, d):
 
 
 def correlation_lineitem(spark, d):
-    items = spark.read.parquet(f"{d}/lineitem.parquet")
+    items = lineitems(spark, d)
     return pr.correlation_matrix(items, LINE_NUMBERS).select("column_i", "column_j", F.round("r", 6).alias("r"))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.functions.numbers import missing_to_null
+from tidewatch.session import spread_small
 
 LABEL = ("CASE event_type WHEN 'view' THEN 'normal' WHEN 'error' THEN 'dos' WHEN 'click' THEN 'probe' "
          "WHEN 'signup' THEN 'r2l' ELSE 'u2r' END")
@@ -109,7 +110,7 @@ def flows_of(events: DataFrame) -> DataFrame:
 def raw_flows(spark: SparkSession, folder: str) -> DataFrame:
     """The flow table as a capture would deliver it, NaN and infinities included."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return raw_flows_of(spark.read.parquet(f"{folder}/events.parquet"))
+    return raw_flows_of(spread_small(spark.read.parquet(f"{folder}/events.parquet")))
 
 
 def flows(spark: SparkSession, folder: str) -> DataFrame:

@@ -19,16 +19,6 @@ def newest(detections: DataFrame, size: int = WINDOW_ROWS) -> DataFrame:
     return detections.orderBy(*[F.desc(c) for c in ORDER]).limit(size)
 
 
-def window_stats(window: DataFrame) -> DataFrame:
-    """One row over the given detections; zeros and nulls when there are none."""
-    attacks, n = F.count_if("is_attack"), F.count(F.lit(1))
-    return window.agg(
-        n.alias("processed"), attacks.alias("attacks"),
-        F.round(F.coalesce(F.try_divide(attacks, n), F.lit(0.0)), 4).alias("attack_rate"),
-        F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 4).alias("mean_confidence"),
-    )
-
-
 def class_counts(window: DataFrame) -> DataFrame:
     return window.groupBy("predicted_class").agg(F.count(F.lit(1)).alias("n"))
 
@@ -42,9 +32,20 @@ def trending_class(window: DataFrame) -> DataFrame:
 
 
 def rolling_snapshot(detections: DataFrame, size: int = WINDOW_ROWS) -> DataFrame:
-    window = newest(detections, size)
-    # Each side is one row.
-    return window_stats(window).crossJoin(F.broadcast(trending_class(window)))
+    """One row: window statistics and the trending class, from one count per class."""
+    attacks = F.count_if("is_attack")
+    per_class = newest(detections, size).groupBy("predicted_class").agg(
+        F.count(F.lit(1)).alias("n"), attacks.alias("a"), F.sum("confidence").alias("c"),
+        F.min(F.when(F.col("is_attack"), F.struct(*ORDER))).alias("first"),
+    )
+    n, a = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0))
+    rank = F.when(F.col("a") > 0, F.struct((-F.col("a")).alias("r"), "first", "predicted_class"))
+    return per_class.agg(
+        n.alias("processed"), a.alias("attacks"),
+        F.round(F.coalesce(F.try_divide(a, n), F.lit(0.0)), 4).alias("attack_rate"),
+        F.round(F.coalesce(F.try_divide(F.sum("c"), n), F.lit(0.0)), 4).alias("mean_confidence"),
+        F.min(rank)["predicted_class"].alias("trending_class"),
+    )
 
 
 def lifetime_stats(detections: DataFrame) -> DataFrame:
