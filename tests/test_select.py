@@ -39,7 +39,9 @@ def test_mutual_information_of_a_copy_is_the_entropy(table):
 def test_methods_pick_the_informative_column(table, method):
     got = se.select_features(table, ["a", "c", "cls"], "y", method, top_k=2, trees=5, depth=4) if method in ("importance", "rfe") \
         else se.select_features(table, ["a", "c", "cls"], "y", method, top_k=2)
-    assert len(got.selected) == 2 and got.selected[0] == "cls"
+    assert len(got.selected) == 2 and "cls" in got.selected
+    if method != "rfe":  # elimination leaves its survivors tied at rank 1
+        assert got.selected[0] == "cls"
 
 
 def test_caps_refusals_and_json(spark, table, tmp_path):
