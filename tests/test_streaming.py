@@ -57,6 +57,9 @@ def test_sixty_flows_in_batches_of_twenty(spark, tmp_path):
     assert stats["lifetime"].first()["total_processed"] == 60
     assert stats["window"].first()["processed"] == 40
     assert stats["class_counts"].agg(F.sum("n")).first()[0] == 40
+    assert process_in_batches(AlertStream(spark, str(tmp_path / "none"), score_flows, Fanout(spark, {})), table.filter("false")) == 0
+    with pytest.raises(FlowDataError, match="is gone"):
+        stream.process(table, 99)
 
 
 def test_no_flows(spark):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewatch.errors import check_positive
+from tidewatch.errors import FlowDataError, check_positive
 from tidewatch.operators.alerts import build_alerts
 from tidewatch.operators.throttle import STATE_SCHEMA, THROTTLE_LIMIT, THROTTLE_SECONDS, TICK_MICROS, throttle_batch
 from tidewatch.session import path_exists, settle
@@ -53,8 +53,10 @@ class AlertStream:
 
     def _state(self, name: str, batch_id: int, schema: str) -> DataFrame:
         path = f"{self.folder}/state/batch={batch_id}/{name}"
-        if batch_id < 0 or not path_exists(self.spark, path):
+        if batch_id < 0:
             return self.spark.createDataFrame([], schema)
+        if not path_exists(self.spark, path):
+            raise FlowDataError(f"state of batch {batch_id} is gone: {path}")
         return self.spark.read.schema(schema).parquet(path)
 
     def _keep(self, table: DataFrame, name: str, batch_id: int) -> None:
@@ -115,11 +117,15 @@ class AlertStream:
 
 
 def process_in_batches(stream: AlertStream, flows: DataFrame, batch_rows: int = BATCH_ROWS) -> int:
-    """Replay a bounded table through the stream in batches of ``batch_rows`` rows, in arrival order."""
-    numbered = settle(micro_batches(flows, batch_rows))
-    last = numbered.agg(F.max("batch_no")).first()[0]
+    """Replay a bounded table through the stream in batches of ``batch_rows`` rows, in arrival order.
+
+    The numbered rows are written by batch once, so each batch reads its own rows only.
+    """
+    path = f"{stream.folder}/replay"
+    micro_batches(flows, batch_rows).repartition("batch_no").write.mode("overwrite").partitionBy("batch_no").parquet(path)
+    last = stream.spark.read.parquet(path).agg(F.max("batch_no")).first()[0] if not flows.isEmpty() else None
     if last is None:
         return 0
     for b in range(last + 1):
-        stream.process(numbered.filter(F.col("batch_no") == b).drop("batch_no"), b)
+        stream.process(stream.spark.read.schema(flows.schema).parquet(f"{path}/batch_no={b}"), b)
     return last + 1
