@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.bpe import encode_decode
 from tidewatch.llm.common import table
+from tidewatch.llm.mixing import mixed
+from tidewatch.llm.quality_llr import judge
 from tidewatch.llm.simhash_ball import near_copies
 
 
@@ -23,6 +25,12 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), name)
 
 
+def op2_quality_llr(spark: SparkSession, folder: str) -> DataFrame:
+    return judge(table(spark, folder, "documents"), table(spark, folder, "labels")).withColumnRenamed("id", "doc_id").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
+    )
+
+
 def op3_simhash_ball(spark: SparkSession, folder: str) -> DataFrame:
     found = near_copies(table(spark, folder, "documents"))
     return found.select(
@@ -32,6 +40,11 @@ def op3_simhash_ball(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    found = mixed(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     found = encode_decode(table(spark, folder, "documents"), vocabulary())
     return found.select(
@@ -41,7 +54,9 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_llr": op2_quality_llr,
         "op3_simhash_ball": op3_simhash_ball,
+        "op9_mixing": op9_mixing,
         "op10_bpe": op10_bpe,
     }
 

@@ -77,11 +77,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each group of near copies: the row of the smallest id, the first of equal rows.
+    """``docs`` with one row of each group of near copies: the row of the smallest id (one of the rows that share that id).
 
-    Rows whose id is null are kept only where their group has no id at all.
+    Rows whose id is null cannot be told apart by it and are all kept.
     """
-    found = near_copies(docs, id_col, text_col, radius)
-    chosen = found.groupBy("component").agg(F.min("fp").alias("any")).select(F.col("component").alias("chosen"))
-    kept = docs.join(chosen, docs[id_col].cast("long").eqNullSafe(F.col("chosen")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    found = near_copies(docs.where(F.col(id_col).isNotNull()), id_col, text_col, radius)
+    chosen = found.select(F.col("component").alias("_chosen")).distinct()
+    kept = docs.join(chosen, docs[id_col].cast("long") == F.col("_chosen"), "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
