@@ -14,6 +14,7 @@ from tidewatch.llm.common import table
 from tidewatch.llm.mixing import mixed
 from tidewatch.llm.quality_llr import judge
 from tidewatch.llm.simhash_ball import near_copies
+from tidewatch.llm.substring import remove_repeats
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -40,6 +41,11 @@ def op3_simhash_ball(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_substring(spark: SparkSession, folder: str) -> DataFrame:
+    found = remove_repeats(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     found = mixed(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
@@ -56,6 +62,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_llr": op2_quality_llr,
         "op3_simhash_ball": op3_simhash_ball,
+        "op8_substring": op8_substring,
         "op9_mixing": op9_mixing,
         "op10_bpe": op10_bpe,
     }

@@ -56,6 +56,8 @@ def ball_edges(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges ``u``, ``v`` that tie together all distinct ``fp`` at most ``radius`` (even) bits apart."""
     masks = [sum(1 << b for b in bits) for k in range(radius // 2 + 1) for bits in combinations(range(64), k)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    # A fixed number of partitions: each grows by the number of variants, which adaptive merging does not foresee.
+    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     variants = prints.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(m).cast("long")) for m in signed])).alias("variant"))
     met = variants.withColumn("least", F.min("fp").over(Window.partitionBy("variant"))).where("fp != least")
     return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= radius).select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
