@@ -17,6 +17,7 @@ from tidewatch.llm.mixing import mixed
 from tidewatch.llm.quality_llr import judge
 from tidewatch.llm.simhash_ball import near_copies
 from tidewatch.llm.substring import remove_repeats
+from tidewatch.llm.urls import judge_urls
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -62,6 +63,10 @@ def op3_simhash_ball(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(table(spark, folder, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
     found = format_chats(table(spark, folder, "conversations"))
     return found.select(F.col("conv").alias("conv_id"), "part", "n_turns", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "text")
@@ -110,6 +115,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_embed_dedup": op1_embed_dedup,
         "op2_quality_llr": op2_quality_llr,
         "op3_simhash_ball": op3_simhash_ball,
+        "op6_urls": op6_urls,
         "op7_chat": op7_chat,
         "op8_substring": op8_substring,
         "op9_mixing": op9_mixing,
