@@ -14,6 +14,7 @@ from tidewatch.llm.chat import format_chats
 from tidewatch.llm.common import table
 from tidewatch.llm.embed_dedup import near_vectors
 from tidewatch.llm.mixing import mixed
+from tidewatch.llm.pii import KINDS, personal_data
 from tidewatch.llm.quality_llr import judge
 from tidewatch.llm.simhash_ball import near_copies
 from tidewatch.llm.substring import remove_repeats
@@ -63,6 +64,18 @@ def op3_simhash_ball(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _of(kind: str):
+    return lambda s: s.kind == kind
+
+
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal_data(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s.kind != "term")
+    joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))))
+    counts = [F.size(F.filter("spans", _of(k))).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op6_urls(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages")).withColumnRenamed("id", "page_id")
 
@@ -115,6 +128,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_embed_dedup": op1_embed_dedup,
         "op2_quality_llr": op2_quality_llr,
         "op3_simhash_ball": op3_simhash_ball,
+        "op5_pii": op5_pii,
         "op6_urls": op6_urls,
         "op7_chat": op7_chat,
         "op8_substring": op8_substring,
