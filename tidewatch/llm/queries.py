@@ -18,6 +18,7 @@ from tidewatch.llm.pii import KINDS, personal_data
 from tidewatch.llm.quality_llr import judge
 from tidewatch.llm.simhash_ball import near_copies
 from tidewatch.llm.substring import remove_repeats
+from tidewatch.llm.toxicity import score_toxicity
 from tidewatch.llm.urls import judge_urls
 
 
@@ -64,6 +65,10 @@ def op3_simhash_ball(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels")).withColumnRenamed("id", "doc_id")
+
+
 def _of(kind: str):
     return lambda s: s.kind == kind
 
@@ -128,6 +133,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_embed_dedup": op1_embed_dedup,
         "op2_quality_llr": op2_quality_llr,
         "op3_simhash_ball": op3_simhash_ball,
+        "op4_toxicity": op4_toxicity,
         "op5_pii": op5_pii,
         "op6_urls": op6_urls,
         "op7_chat": op7_chat,
