@@ -105,3 +105,38 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
             rest.append(part)
     if rest:
         yield pa.concat_tables(rest).combine_chunks()
+
+
+#: Bits of a page of a ``bit_filter``.
+PAGE_BITS = 15
+
+
+def bit_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A filter of 2 ** bits bits for the column ``h`` (long): the top bits of a hash name its bit.
+
+    Its size is fixed whatever the number of rows: with many it lets more pass by chance, never less. Pages of
+    it are put together by the executors, so the driver receives the bits and not the rows.
+    """
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            cells = batch.column(0).to_numpy()
+            for page in np.unique(cells >> PAGE_BITS).tolist():
+                own = held.setdefault(page, np.zeros(1 << PAGE_BITS, bool))
+                own[cells[cells >> PAGE_BITS == page] & ((1 << PAGE_BITS) - 1)] = True
+        for page, own in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([page], pa.int64()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["page", "own"])
+
+    cells = hashes.select(F.shiftrightunsigned("h", 64 - bits).alias("cell")).distinct()
+    found = cells.repartition(F.shiftright("cell", PAGE_BITS)).sortWithinPartitions("cell").mapInArrow(pages, "page long, own binary").collect()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for page, own in found:
+        out[page << (PAGE_BITS - 3) : (page + 1) << (PAGE_BITS - 3)] = np.frombuffer(own, np.uint8)
+    return out
+
+
+def passes(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Which unsigned 64-bit ``hashes`` pass a ``bit_filter``."""
+    cells = hashes >> np.uint64(64 - bits)
+    return (bitmap[(cells >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (cells & np.uint64(7)).astype(np.uint8))) & 1 == 1

@@ -5,6 +5,9 @@ smallest rank; consecutive windows that share the minimiser travel as one packed
 bucket, where sorting brings equal windows together and counts them exactly, text against text. A window
 that another document with a smaller id also starts is marked, and its words are removed.
 
+Windows can only be equal if their minimisers are, so minimisers are counted first and super-k-mers whose
+minimiser is alone stay at home; a fixed-size filter says which.
+
 The rank puts the few groups that are frequent in the corpus last, so that only windows made of nothing else
 meet in a frequent group's bucket. Such windows are copies of each other and collapse before the shuffle.
 Any rank gives the same result; it only decides who meets where.
@@ -21,20 +24,31 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import runs, written
+from tidewatch.llm.common import bit_filter, passes, runs, written
 
 WINDOW, GRAM = 50, 6
 #: Word groups with at least one in so many of all occurrences rank last: at most that many, whatever the corpus' size.
 FREQUENT_ONE_IN = 1 << 16
-#: Windows cut at a time from a long text, and packed strings handed on at a time.
-WINDOWS_AT_ONCE, STRINGS_AT_ONCE = 1 << 18, 2_000
+#: Windows cut at a time from a long text (their places fit PLACE_BITS), packed strings put together before they are handed on, words remembered.
+WINDOWS_AT_ONCE, PLACE_BITS, STRINGS_AT_ONCE, WORDS_KEPT = 1 << 18, 20, 20_000, 500_000
+#: Bits of the filters of repeated minimisers and of strings with a repeat.
+MINIMISER_BITS, STRING_BITS = 25, 22
 MULTIPLIERS = [np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) for k in range(1, 65)]
 
 
+_hashes: dict[bytes, int] = {}
+
+
 def group_hashes(words: list[bytes], gram: int) -> np.ndarray:
     """A hash per group of ``gram`` consecutive words."""
-    known: dict[bytes, int] = {}
-    own = np.array([known.get(w) or known.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words], np.uint64)
+    found = list(map(_hashes.get, words))
+    if None in found:
+        if len(_hashes) >= WORDS_KEPT:
+            _hashes.clear()
+        for k, h in enumerate(found):
+            if h is None:
+                found[k] = _hashes[words[k]] = xxhash.xxh3_64_intdigest(words[k])
+    own = np.array(found, np.uint64)
     n = len(words) - gram + 1
     mixed = np.zeros(n, np.uint64)
     for k in range(gram):
@@ -44,8 +58,23 @@ def group_hashes(words: list[bytes], gram: int) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
-def super_kmers(words: list[bytes], window: int, gram: int, last: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """``bucket``, first window, number of windows of each run of windows with one minimiser. ``last``: sorted hashes that rank last."""
+def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every ``width`` neighbours, from running minima of blocks to both sides."""
+    n = len(values) - width + 1
+    full = np.full(-(-len(values) // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    full[: len(values)] = values
+    blocks = full.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
+
+
+def super_kmers(words: list[bytes], window: int, gram: int, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Buckets, first windows, numbers of windows of the runs of windows with one minimiser. ``last``: sorted hashes that rank last.
+
+    A key of rank and place gives minimum and place at once; equal ranks go to the first place, which is the
+    same in equal windows.
+    """
     n = len(words) - window + 1
     if n <= 0:
         return
@@ -54,18 +83,14 @@ def super_kmers(words: list[bytes], window: int, gram: int, last: np.ndarray) ->
     if len(last):
         at = np.minimum(np.searchsorted(last, hashes), len(last) - 1)
         rank = rank | ((last[at] == hashes).astype(np.uint64) << np.uint64(63))
+    rank = rank >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)
     inside = window - gram + 1
     for low in range(0, n, WINDOWS_AT_ONCE):
-        view = np.lib.stride_tricks.sliding_window_view(rank[low : min(n, low + WINDOWS_AT_ONCE) + inside - 1], inside)
-        place = np.empty(len(view), np.int64)
-        for a in range(0, len(view), 4096):
-            place[a : a + 4096] = view[a : a + 4096].argmin(axis=1)
-        place += np.arange(low, low + len(view))
-        cuts = np.flatnonzero(np.diff(place)) + 1
-        starts = np.concatenate([[0], cuts])
-        ends = np.concatenate([cuts, [len(view)]])
-        for bucket, a, b in zip(hashes[place[starts]].view(np.int64).tolist(), starts.tolist(), ends.tolist()):
-            yield bucket, low + a, b - a
+        part = rank[low : min(n, low + WINDOWS_AT_ONCE) + inside - 1]
+        key = sliding_least(part | np.arange(len(part), dtype=np.uint64), inside)
+        place = (key & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64) + low
+        starts = np.append(0, np.flatnonzero(np.diff(place)) + 1)
+        yield hashes[place[starts]], starts + low, np.diff(np.append(starts, len(place)))
 
 
 def _frequent(texts: DataFrame, window: int, gram: int) -> np.ndarray:
@@ -111,25 +136,60 @@ def repeated_windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
     """``id`` and ``marks``: array of (first window, smallest id per window) where a window's words also start in a smaller id."""
     last = _frequent(texts, window, gram)
 
-    def cut(batches: Iterator[pa.RecordBatch], packed: bool) -> Iterator[pa.RecordBatch]:
+    def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+
+        def out() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(parts), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+        for batch in batches:
+            for value in batch.column(1):
+                for own, _, _ in super_kmers((value.as_py() or b"").split(), window, gram, last):
+                    parts.append(own)
+                    held += len(own)
+            if held >= WINDOWS_AT_ONCE:
+                yield out()
+                parts, held = [], 0
+        if parts:
+            yield out()
+
+    twice = texts.mapInArrow(minimisers, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    shared = bit_filter(twice, MINIMISER_BITS)
+
+    def pieces(words: list[bytes]) -> Iterator[tuple[int, bytes, int]]:
+        """Bucket, packed string, first window of the super-k-mers that may hold a repeat."""
+        flat, ends = b"", None
+        for own, at, n in super_kmers(words, window, gram, last):
+            found = np.flatnonzero(passes(shared, own, MINIMISER_BITS))
+            if len(found):
+                if ends is None:
+                    flat = b" ".join(words)
+                    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                begin = np.where(at[found] > 0, ends[at[found] - 1], 0).tolist()
+                end = (ends[at[found] + n[found] + window - 2] - 1).tolist()
+                for bucket, first, a, b in zip(own[found].view(np.int64).tolist(), at[found].tolist(), begin, end):
+                    yield bucket, flat[a:b], first
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, bytes], tuple[int, int]] = {}
+
+        def out() -> pa.RecordBatch:
+            keys, ids = list(zip(*seen)), list(zip(*seen.values()))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.binary()), pa.array(ids[0], pa.int64()), pa.array(ids[1], pa.int64())], ["bucket", "text", "first", "most"]
+            )
+
         for batch in batches:
-            rows: list[tuple] = []
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = (value.as_py() or b"").split()
-                for bucket, at, n in super_kmers(words, window, gram, last):
-                    text = b" ".join(words[at : at + n + window - 1])
-                    rows.append((bucket, text, doc) if packed else (_digest(text), doc, at))
-                    if len(rows) >= STRINGS_AT_ONCE:
-                        yield out(rows, packed)
-                        rows = []
-            if rows:
-                yield out(rows, packed)
-
-    def out(rows: list[tuple], packed: bool) -> pa.RecordBatch:
-        a, b, c = zip(*rows)
-        if packed:
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary()), pa.array(c, pa.int64())], ["bucket", "text", "doc"])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["digest", "id", "at"])
+                for bucket, text, _ in pieces((value.as_py() or b"").split()):
+                    low, high = seen.get((bucket, text), (doc, doc))
+                    seen[bucket, text] = min(low, doc), max(high, doc)
+                    if len(seen) >= STRINGS_AT_ONCE:
+                        yield out()
+                        seen = {}
+        if seen:
+            yield out()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in runs(batches, ["bucket"]):
@@ -146,11 +206,27 @@ def repeated_windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 digests, least = zip(*found[low : low + STRINGS_AT_ONCE])
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(least, pa.list_(pa.int64()))], ["digest", "least"])
 
-    strings = texts.mapInArrow(lambda b: cut(b, True), "bucket long, text binary, doc long")
-    strings = strings.groupBy("bucket", "text").agg(F.min("doc").alias("first"), F.max("doc").alias("most"))
-    least = written(strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "digest binary, least array<long>"))
-    places = texts.mapInArrow(lambda b: cut(b, False), "digest binary, id long, at long")
-    hits = places.join(least, "digest").where(F.exists("least", lambda x: x < F.col("id")))
+    strings = texts.mapInArrow(pack, "bucket long, text binary, first long, most long")
+    # Equal strings of a task are already one row; dealt by bucket, the rest meet without a second shuffle.
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    strings = strings.repartition(parts, "bucket").groupBy("bucket", "text").agg(F.min("first").alias("first"), F.max("most").alias("most"))
+    least = written(strings.sortWithinPartitions("bucket").mapInArrow(count, "digest binary, least array<long>"))
+    repeats = bit_filter(least.select(F.xxhash64("digest").alias("h")), STRING_BITS)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, ids, at = [], [], []
+            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for _, text, first in pieces((value.as_py() or b"").split()):
+                    digests.append(_digest(text))
+                    ids.append(doc)
+                    at.append(first)
+            keep = passes(repeats, np.fromiter((xxhash.xxh64_intdigest(d, 42) for d in digests), np.uint64, len(digests)), STRING_BITS)
+            out = pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(at, pa.int64())], ["digest", "id", "at"])
+            yield out.filter(pa.array(keep))
+
+    found = texts.mapInArrow(places, "digest binary, id long, at long")
+    hits = found.join(least, "digest").where(F.exists("least", lambda x: x < F.col("id")))
     return hits.groupBy("id").agg(F.collect_list(F.struct("at", "least")).alias("marks"))
 
 
