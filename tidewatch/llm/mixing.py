@@ -27,6 +27,16 @@ def uniform(*parts: Column | str | int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*[F.lit(p) if isinstance(p, int) else p for p in parts]), 11).cast("double") + 0.5) / float(1 << 53)
 
 
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where null equals null; the keys stay once. Names, not references, tell the sides apart: one may stem from the other."""
+    for key in keys:
+        right = right.withColumnRenamed(key, f"_right_{key}")
+    on = F.lit(True)
+    for key in keys:
+        on = on & F.col(key).eqNullSafe(F.col(f"_right_{key}"))
+    return left.join(right, on, how).drop(*[f"_right_{key}" for key in keys])
+
+
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """``id``, ``source``, ``size`` and ``twin``, which tells equal ids apart by their order of hash."""
     size = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), SPACE), lambda w: w != "")).cast("long")
@@ -131,13 +141,13 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     ).withColumn("passes", F.floor(F.col("rate") + 1e-12).cast("long"))
     plan = written(plan.withColumn("part", F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0))))
     # Blocks in permuted order and how far into them the part reaches.
-    keyed = sized.join(plan.select("source", "n_blocks"), sized.source.eqNullSafe(plan.source)).drop(plan.source)
+    keyed = matched(sized, plan.select("source", "n_blocks"), ["source"])
     keyed = keyed.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "id", "text_hash"), F.col("n_blocks")))
     keyed = written(keyed.withColumn("order", F.xxhash64(F.lit(seed + 1), "id", "text_hash")))
     blocks = keyed.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
     along = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), "source", "block"), "block")
     blocks = blocks.withColumn("place", F.row_number().over(along) - 1).withColumn("till", F.sum("block_size").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    blocks = blocks.join(plan, blocks.source.eqNullSafe(plan.source)).drop(plan.source)
+    blocks = matched(blocks, plan, ["source"])
     start = F.col("till") - F.col("block_size")
     blocks = written(
         blocks.withColumn("need", F.greatest(F.lit(0.0), F.least(F.col("block_size").cast("double"), F.col("part") - start))).select(
@@ -151,14 +161,14 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     draws = blocks.withColumn("in_source", F.count(F.lit(1)).over(many)).select(
         "source", "block", F.posexplode(F.filter(F.array(*[F.when(F.lit(k) < F.col("passes") + F.col("partly").cast("int"), k * F.col("in_source") + F.col("place")) for k in range(MOST)]), lambda at: at.isNotNull())).alias("draw", "at")
     )
-    draws = draws.join(tree, draws.source.eqNullSafe(tree.source) & (draws["at"] >= tree.before) & (draws["at"] < tree.before + tree.n)).drop(tree.source)
+    draws = matched(draws, tree, ["source"]).where("at >= before and at < before + n")
     shards = draws.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("draw", "shard"))).alias("shards"))
-    blocks = blocks.join(shards, blocks.source.eqNullSafe(shards.source) & (blocks.block == shards.block), "left").drop(shards.source, shards.block)
+    blocks = matched(blocks, shards, ["source", "block"], "left")
     # In the block that the part ends in, the smaller side (taken or left out) is filled in permuted order by every document that still fits.
     blocks = blocks.withColumn("leave", F.col("need") > F.col("block_size") / 2)
     room = F.when(F.col("leave"), F.col("block_size") - F.col("need")).otherwise(F.col("need"))
     edge = blocks.where("partly and need < block_size").select("source", "block", room.alias("need"))
-    inside = keyed.join(edge, keyed.source.eqNullSafe(edge.source) & (keyed.block == edge.block)).drop(edge.source, edge.block)
+    inside = matched(keyed, edge, ["source", "block"])
     inside = inside.groupBy("source", "block", "order").agg(F.sum("size").alias("size"), F.first("need").alias("need"))
     inside = inside.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("order", "size"))).alias("xs"), F.first("need").alias("need"))
     begin = F.struct(F.col("need").alias("room"), F.array().cast("array<bigint>").alias("out"))
@@ -168,8 +178,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         return F.struct((acc.room - F.when(fits, x["size"]).otherwise(0)).alias("room"), F.when(fits, F.concat(acc.out, F.array(x.order))).otherwise(acc.out).alias("out"))
 
     chosen = inside.select("source", "block", F.aggregate("xs", begin, fill, lambda acc: acc.out).alias("chosen"))
-    blocks = blocks.join(chosen, blocks.source.eqNullSafe(chosen.source) & (blocks.block == chosen.block), "left").drop(chosen.source, chosen.block)
-    rows = keyed.join(blocks, keyed.source.eqNullSafe(blocks.source) & (keyed.block == blocks.block)).drop(blocks.source, blocks.block)
+    blocks = matched(blocks, chosen, ["source", "block"], "left")
+    rows = matched(keyed, blocks, ["source", "block"])
     extra = F.when(F.col("partly") & (F.col("chosen").isNull() | (F.array_contains("chosen", F.col("order")) != F.col("leave"))), 1).otherwise(0)
     copies = (F.col("passes") + extra).cast("int")
     return rows.withColumn("copies", F.when(F.col("target") > 0, copies).otherwise(0)).select(
