@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,7 +153,9 @@ def near_vectors(
     rows = rows.withColumn("ok", F.coalesce(F.col("id").isNotNull() & (F.size("vec") > 0) & usable, F.lit(False)))
     kind = "double" if "double" in dict(rows.dtypes)["vec"] else "float"
     rows = written(rows.withColumn("vec", F.when(F.col("ok"), F.col("vec").cast(f"array<{kind}>"))).withColumn("key", F.when(F.col("ok"), F.sha2(F.to_json("vec"), 256))))
-    classes = rows.where("ok").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w"), F.first("vec").alias("vec"))
+    classes = rows.where("ok").groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("w"), F.first("vec").alias("vec"))
+    # Classes are numbered, since rows of one id may hold different vectors.
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,18 +184,22 @@ def near_vectors(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs(batches, ["bucket", "lo", "hi"]):
-            counted = _counted(part, cosine, tables, probes)
-            if counted is not None:
-                yield counted
+            # The length is in the bucket's number, so parts of one length hold whole groups.
+            sizes = pc.list_value_length(part["vec"])
+            for size in pc.unique(sizes):
+                counted = _counted(part.filter(pc.equal(sizes, size)), cosine, tables, probes)
+                if counted is not None:
+                    yield counted
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
     linked = written(dealt.mapInArrow(work, "rep long, add long, root long"))
     links = linked.groupBy("rep").agg(F.sum("add").alias("add"))
     tied = components(linked.where("rep != root").select(F.col("rep").alias("u"), F.col("root").alias("v")).distinct())
-    out = found.select("rep", "w").join(links, "rep", "left").join(tied.withColumnRenamed("node", "rep"), "rep", "left")
-    out = out.select("rep", (F.col("w") - 1 + F.coalesce("add", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    named = classes.select("key", "rep").join(out, "rep").select("key", "n_links", "component")
+    out = classes.select("key", "rep", "w", "least").join(links, "rep", "left").join(tied.withColumnRenamed("node", "rep"), "rep", "left")
+    out = written(out.select("key", "least", F.coalesce("component", "rep").alias("class"), (F.col("w") - 1 + F.coalesce("add", F.lit(0))).alias("n_links")))
+    smallest = out.groupBy("class").agg(F.min("least").alias("component"))
+    named = out.join(smallest, "class").select("key", "n_links", "component")
     whole = rows.select("id", "key").join(named, "key", "left")
     component = F.coalesce("component", "id")
     return whole.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
