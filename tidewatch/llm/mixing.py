@@ -192,6 +192,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = mixed(docs, id_col, text_col, source_col, seed, levels).where(F.size("shards") > 0)
     taken = taken.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("shards").alias("_shards")).dropDuplicates(["_id", "_hash"])
     same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_hash"))
-    out = docs.join(taken, same).select(*[docs[c] for c in docs.columns], F.posexplode("_shards").alias("_copy", "_shard"), "_hash")
+    out = docs.join(taken.hint("merge"), same).select(*[docs[c] for c in docs.columns], F.posexplode("_shards").alias("_copy", "_shard"), "_hash")
     out = out.withColumn("_order", F.xxhash64(F.lit(seed + 3), "_hash", F.col(id_col), "_copy"))
     return out.repartitionByRange("_shard", "_order").sortWithinPartitions("_shard", "_order").select(*docs.columns)

@@ -230,4 +230,4 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_hash"))
     text = F.coalesce("_new", docs[text_col])
     columns = [text.alias(c) if c == text_col else F.when(F.col("_new").isNotNull(), F.length("_new").cast(dict(docs.dtypes)[c])).otherwise(docs[c]).alias(c) if c == length_col else docs[c] for c in docs.columns]
-    return docs.join(changed, same, "left").select(*columns)
+    return docs.join(changed.hint("merge"), same, "left").select(*columns)

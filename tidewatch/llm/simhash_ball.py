@@ -85,5 +85,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """
     found = near_copies(docs.where(F.col(id_col).isNotNull()), id_col, text_col, radius)
     chosen = found.select(F.col("component").alias("_chosen")).distinct()
-    kept = docs.join(chosen, docs[id_col].cast("long") == F.col("_chosen"), "left_semi").dropDuplicates([id_col])
+    kept = docs.join(chosen.hint("merge"), docs[id_col].cast("long") == F.col("_chosen"), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

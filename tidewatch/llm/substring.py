@@ -279,5 +279,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept.append(b" ".join(left))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], ["id", "n_words", "n_removed", "kept"])
 
-    joined = texts.join(marks, "id", "left").select("id", "raw", "marks")
+    joined = texts.join(marks.hint("merge"), "id", "left").select("id", "raw", "marks")
     return joined.mapInArrow(work, "id long, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
