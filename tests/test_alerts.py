@@ -109,15 +109,18 @@ def test_throttle_equals_the_row_by_row_rule(spark, segment_rows):
         assert r["suppressed"] == sum(1 for (k, _), (ok, *_x) in zip(events, want) if k == r["throttle_key"] and not ok)
 
 
-def test_throttle_pieces_keep_the_result(spark, monkeypatch):
-    monkeypatch.setattr(th, "PIECE_ROWS", 3)
+@pytest.mark.parametrize("segment_rows", [3, 50])
+def test_throttle_segments_of_one_busy_key(spark, segment_rows):
     rng = random.Random(5)
-    events = [("k", t) for t in sorted(rng.uniform(0, 5000) for _ in range(200))]
-    events = [(k, round(t, 3)) for k, t in events]
-    got = th.decisions(candidates(spark, events), 60, 2).orderBy("flow_id").collect()
+    events = [("k", round(t, 3)) for t in sorted(rng.uniform(0, 900) for _ in range(60))]
+    got = th.decisions(candidates(spark, events), 60, 2, segment_rows=segment_rows).orderBy("flow_id").collect()
     assert [r["allowed"] for r in got] == [ok for ok, *_ in by_hand(events, 60, 2)]
 
 
+def test_throttle_of_nothing(spark):
+    assert th.decisions(candidates(spark, [("k", 0)]).limit(0), 60, 2).count() == 0
+
+
 def test_throttle_across_batches(spark):
     rng = random.Random(2)
     events, t = [], 0

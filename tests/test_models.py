@@ -71,7 +71,7 @@ def test_one_against_rest_models_give_probabilities(spark, name, params):
     df = spark.range(150).select(
         (F.col("id") % 3).cast("double").alias("label_index"), ((F.col("id") % 3) * 2 + F.rand(1)).alias("a"), F.rand(2).alias("b"))
     data = tr.assemble(tr.with_weights(df), ["a", "b"])
-    model = tr.build_estimator(name, params, 150).fit(data)
+    model = tr.estimator_of(name, params, 150).fit(data)
     out = tr.scored(model, data)
     assert out.filter(F.size("probabilities") != 3).count() == 0
     assert out.filter("prediction = label_index").count() > 100
@@ -82,7 +82,7 @@ def test_grid_search_picks_a_point(spark):
     best = tr.train_one(df, "logistic_regression", ["a"], "id", {"maxIter": 5}, folds=2, tune=True, grid={"C": [0.01, 1.0]})
     assert best.params["C"] in (0.01, 1.0) and 0.5 < best.cv_mean <= 1.0
     with pytest.raises(FlowDataError):
-        tr.build_estimator("magic")
+        tr.estimator_of("magic")
     with pytest.raises(FlowDataError):
         tr.best_model({})
 

@@ -47,17 +47,17 @@ def test_rolling_rows_across_blocks(skewed, size, block):
     assert np.allclose(got["s"], want.sum()) and (got["n"].to_numpy() == want.count().to_numpy()).all()
 
 
-def test_bracketed_quantiles_equal_the_inline_ones(spark, skewed):
+def test_quantiles_equal_pandas(spark, skewed):
     pdf, df = skewed
     probs = [0.0, 0.1, 0.333, 0.5, 0.9, 1.0]
     df = df.withColumn("w", F.when(F.col("id") % 3 == 0, F.col("v") * F.col("at"))).withColumn("none", F.lit(None).cast("double"))
+    rows = df.toPandas()
     for by in ([], ["key"]):
-        both = [
-            {tuple(r[c] for c in [*by, "column", "prob"]): r["value"] for r in
-             exact_quantiles(df, ["v", "w", "none"], probs, by=by, inline_rows=limit).collect()}
-            for limit in (10**9, 0)
-        ]
-        assert both[0].keys() == both[1].keys()
-        for k, value in both[0].items():
-            assert (value is None and both[1][k] is None) or both[1][k] == pytest.approx(value), k
-    assert medians(df, ["v", "none"], inline_rows=0) == {"v": pytest.approx(pdf["v"].median()), "none": 0.0}
+        found = {tuple(r[c] for c in [*by, "column", "prob"]): r["value"] for r in exact_quantiles(df, ["v", "w", "none"], probs, by=by).collect()}
+        groups = rows.groupby("key") if by else [(None, rows)]
+        want = {(*([k] if by else []), c, p): None if c == "none" else g[c].dropna().astype(float).quantile(p) for k, g in groups for c in ("v", "w", "none") for p in probs}
+        assert found.keys() == want.keys()
+        for k, value in want.items():
+            assert found[k] == (None if value is None or value != value else pytest.approx(value)), k
+    assert medians(df, ["v", "none"]) == {"v": pytest.approx(pdf["v"].median()), "none": 0.0}
+    assert medians(df.limit(0), ["v"]) == {"v": 0.0}

@@ -22,5 +22,5 @@ def check_positive(value, name):
 def need_columns(df, columns):
     absent = [c for c in columns if c not in df.columns]
     if absent:
-        raise FlowDataError(f"table lacks column(s): {', '.join(absent[:10])}")
+        raise FlowDataError(f"table lacks column(s): {', '.join(absent)}")
     return df

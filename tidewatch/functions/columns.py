@@ -1,9 +1,8 @@
 """Flow-table vocabulary. Names and limits every flow file agrees on."""
 
-CATEGORICAL = ["protocol_type", "service", "flag"]
-
-NUMERIC = [
-    "duration", "src_bytes", "dst_bytes", "land", "wrong_fragment", "urgent", "hot",
+# Columns of a flow file in file order.
+FEATURES = [
+    "duration", "protocol_type", "service", "flag", "src_bytes", "dst_bytes", "land", "wrong_fragment", "urgent", "hot",
     "num_failed_logins", "logged_in", "num_compromised", "root_shell", "su_attempted",
     "num_root", "num_file_creations", "num_shells", "num_access_files", "num_outbound_cmds",
     "is_host_login", "is_guest_login", "count", "srv_count", "serror_rate", "srv_serror_rate",
@@ -13,7 +12,9 @@ NUMERIC = [
     "dst_host_srv_serror_rate", "dst_host_rerror_rate", "dst_host_srv_rerror_rate",
 ]
 
-FEATURES = ["duration", *CATEGORICAL, *NUMERIC[1:]]
+CATEGORICAL = ["protocol_type", "service", "flag"]
+
+NUMERIC = [name for name in FEATURES if name not in CATEGORICAL]
 
 CLASSES = ["normal", "dos", "probe", "r2l", "u2r"]
 

@@ -60,13 +60,14 @@ def flow_summary(columns: list[str]) -> Column:
 
 
 def check_thresholds(thresholds: dict[str, float]) -> dict[str, float]:
-    absent = [k for k in SEVERITY_THRESHOLDS if k not in thresholds]
-    if absent:
-        raise FlowDataError(f"missing severity threshold(s): {', '.join(absent)}")
-    ladder = [float(thresholds[k]) for k in SEVERITY_THRESHOLDS]
-    if ladder != sorted(ladder):
-        raise FlowDataError("severity thresholds must not fall from low to critical")
-    return dict(zip(SEVERITY_THRESHOLDS, ladder))
+    """The four thresholds as numbers; each step up needs at least the confidence of the one below."""
+    steps = {name: float(thresholds.get(name, "nan")) for name in SEVERITY_THRESHOLDS}
+    below = float("-inf")
+    for name, step in steps.items():
+        if not step >= below:
+            raise FlowDataError(f"threshold {name!r} is absent or lower than the one below it: {thresholds}")
+        below = step
+    return steps
 
 
 def severity_rank(confidence: Column, predicted: Column, thresholds: dict[str, float] | None = None) -> Column:

@@ -63,11 +63,11 @@ class Detector:
         if encoder is not None:
             unknown = [c for c in wanted if c not in encoder.state.features]
             if unknown:
-                raise FlowDataError(f"missing model feature(s): {', '.join(unknown[:10])}")
+                raise FlowDataError(f"missing model feature(s): {', '.join(unknown)}")
             held = encoder.transform_features(held, keep=[f"_keep_{c}" for c in keep], columns=wanted)
         absent = [c for c in wanted if c not in held.columns]
         if absent:
-            raise FlowDataError(f"missing model feature(s): {', '.join(absent[:10])}")
+            raise FlowDataError(f"missing model feature(s): {', '.join(absent)}")
         return held
 
     def detect(self, df: DataFrame, keep=("flow_id", "ts_us")) -> DataFrame:

@@ -19,10 +19,10 @@ from tidewatch.errors import FlowDataError, need_columns
 from tidewatch.functions.numbers import categorical_columns, missing_to_null, numeric_columns, to_number
 from tidewatch.operators.quality import check_table, unknown_labels
 from tidewatch.operators.quantiles import medians
+from tidewatch.session import settle
 
 UNKNOWN = "__unknown__"
 SCALERS = ("standard", "minmax", "none")
-MAX_LEVELS = 10_000
 
 
 @dataclass
@@ -121,9 +121,7 @@ def _moments(df: DataFrame, columns: dict[str, Column]) -> dict[str, tuple]:
 
 
 def class_names(df: DataFrame, target: str) -> list[str]:
-    rows = df.select(F.col(target).cast("string").alias("c")).filter("c is not null").distinct().limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise FlowDataError(f"{target} has more than {MAX_LEVELS} classes")
+    rows = df.select(F.col(target).cast("string").alias("c")).filter("c is not null").distinct().collect()
     return sorted(r["c"] for r in rows)
 
 
@@ -142,7 +140,7 @@ def decode_label(index: Column, classes: list[str]) -> Column:
 class FlowEncoder(Estimator):
     """Learns an :class:`EncoderModel` from a labelled table."""
 
-    def __init__(self, target: str = "label", scaler: str = "standard", drop=(), max_levels: int = MAX_LEVELS):
+    def __init__(self, target: str = "label", scaler: str = "standard", drop=(), max_levels: int | None = None):
         super().__init__()
         if scaler not in SCALERS:
             raise FlowDataError(f"unknown scaler {scaler!r}; choose one of {', '.join(SCALERS)}")
@@ -158,12 +156,14 @@ class FlowEncoder(Estimator):
         levels: dict[str, list[str]] = {c: [] for c in categorical}
         modes: dict[str, str] = {}
         counts: dict[tuple[str, str], int] = {}
-        # One row per level; a column with more levels than max_levels cannot become columns.
-        listed = [*categorical, self.target]
-        bound = (self.max_levels + 1) * len(listed)
-        rows = category_counts(df, listed).limit(bound + 1).collect()
-        if len(rows) > bound:
-            raise FlowDataError(f"more than {self.max_levels} levels per categorical column")
+        # One row per level, each of which becomes a column; max_levels, if asked for, refuses wide ones before they are read.
+        found = category_counts(df, [*categorical, self.target])
+        if self.max_levels is not None:
+            found = settle(found)
+            sizes = found.filter("level is not null").groupBy("column").count().filter(F.col("count") > self.max_levels)
+            if wide := sorted(r["column"] for r in sizes.collect()):
+                raise FlowDataError(f"more than {self.max_levels} levels in: {', '.join(wide)}")
+        rows = found.collect()
         total = sum(r["n"] for r in rows if r["column"] == self.target)
         classes = sorted(r["level"] for r in rows if r["column"] == self.target and r["level"] is not None)
         for r in rows:
@@ -227,7 +227,7 @@ class EncoderModel(Model):
 
     def check_labels(self, df: DataFrame) -> DataFrame:
         """Refuse labels that were not there when fitting."""
-        unseen = unknown_labels(df, self.state.target, self.state.classes).limit(10).collect()
+        unseen = unknown_labels(df, self.state.target, self.state.classes).collect()
         if unseen:
             raise FlowDataError(f"unseen label(s): {', '.join(sorted(str(r[0]) for r in unseen))}")
         return df

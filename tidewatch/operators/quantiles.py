@@ -1,99 +1,88 @@
 """Exact interpolated quantiles of many columns at once, with or without groups.
 
-Spark's ``percentile`` is exact but keeps every distinct value of a group in one buffer. Small
-tables use it. Larger ones bracket each quantile with mergeable sketches, collapse all values below
-the bracket into a count on the map side, and rank only the values inside the bracket.
+One way at every size: mergeable sketches bracket each quantile, one aggregate counts what lies below each
+bracket, and only the few values inside the brackets leave their rows, equal ones as one. Ranking those
+gives the exact order statistics.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.ordering import running_sums
 from tidewatch.session import settle, small_side
 
-INLINE_ROWS = 2_000_000
+#: A sketch is off by one in so many ranks at most.
 _ACCURACY = 10_000
+#: How far a bracket reaches to both sides, as a share of the ranks: the first that spans three ranks, else everything.
+_REACH = [2.0 / _ACCURACY, 100.0 / _ACCURACY]
 
 
-def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None,
-    inline_rows: int = INLINE_ROWS,
-) -> DataFrame:
-    """Rows ``(*by, column, prob, value)``; a column without values gives null."""
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None) -> DataFrame:
+    """Rows ``(*by, column, prob, value)``; a column without values gives null. Rows with a null group are left out."""
     by = by or []
-    df = df.select(*by, *columns)
+    df = df.select(*by, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
     for key in by:
         df = df.filter(F.col(key).isNotNull())
-    if df.count() <= inline_rows:
-        return _inline(df, columns, probs, by)
-    spread = 2.0 / _ACCURACY
-    while True:
-        found = _bracketed(df, columns, probs, by, spread)
-        missed = found.filter(F.col("_n").isNotNull() & (F.col("_n") > 0) & F.col("value").isNull())
-        if spread >= 1.0 or missed.isEmpty():
-            return found.drop("_n")
-        spread *= 100
-
-
-def _inline(df, columns, probs, by):
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    rows = df.groupBy(*by).agg(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.percentile(F.col(c).cast("double"), wanted).alias("value")) for c in columns
-    ]).alias("_c"))
-    return (
-        rows.select(*by, F.explode("_c").alias("_c"))
-        .select(*by, "_c.column", F.posexplode_outer(F.coalesce("_c.value", F.array_repeat(F.lit(None).cast("double"), len(probs)))))
-        .select(*by, "column", F.get(wanted, F.col("pos")).alias("prob"), F.col("col").alias("value"))
-    )
-
-
-def _bracketed(df, columns, probs, by, spread):
-    low = F.array(*[F.lit(max(0.0, p - spread)) for p in probs])
-    high = F.array(*[F.lit(min(1.0, p + spread)) for p in probs])
-    value = {c: F.col(c).cast("double") for c in columns}
-    sketch = df.groupBy(*by).agg(F.array(*[
+    low = F.array(*[F.lit(max(0.0, p - reach)) for reach in _REACH for p in probs])
+    high = F.array(*[F.lit(min(1.0, p + reach)) for reach in _REACH for p in probs])
+    sketch = settle(df.groupBy(*by).agg(*[
         F.struct(
-            F.lit(c).alias("column"),
-            F.count(value[c]).alias("_n"),
-            F.percentile_approx(value[c], low, _ACCURACY).alias("low"),
-            F.percentile_approx(value[c], high, _ACCURACY).alias("high"),
-        )
-        for c in columns
-    ]).alias("_c"))
-    sketch = settle(sketch)  # one row per group; read by each of the next steps
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    blank = F.array_repeat(F.lit(None).cast("double"), len(probs))  # a column without values
-    brackets = sketch.select(*by, F.explode("_c").alias("_c")).select(
-        *by, "_c.column", "_c._n", F.explode(F.arrays_zip(
-            wanted.alias("prob"), F.coalesce("_c.low", blank).alias("_low"), F.coalesce("_c.high", blank).alias("_high"))).alias("_e")
-    ).select(*by, "column", F.col("_e.prob").alias("prob"), "_n", F.col("_e._low").alias("_low"), F.col("_e._high").alias("_high"))
-    values = df.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), value[c].alias("_v")) for c in columns
-    ])).alias("_e")).select(*by, "_e.*").filter(F.col("_v").isNotNull())
-    keys = [*by, "column"]
-    inside = values.join(small_side(brackets), keys).filter(F.col("_v") <= F.col("_high"))
-    # Everything below the bracket shares the null key: it collapses before the shuffle.
-    counted = inside.groupBy(*keys, "prob", "_n", F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_key")) \
-        .agg(F.count(F.lit(1)).alias("_c"))
-    ranked = running_sums(counted, [*keys, "prob", "_n"], ["_key"], {"_cum": F.col("_c")})
-    place = F.col("prob") * (F.col("_n") - 1)
-    left, right = F.floor(place), F.ceil(place)
-    before = F.col("_cum") - F.col("_c")
-    found = ranked.groupBy(*keys, "prob", "_n").agg(
-        F.max(F.when((before <= left) & (F.col("_cum") > left), F.col("_key"))).alias("_a"),
-        F.max(F.when((before <= right) & (F.col("_cum") > right), F.col("_key"))).alias("_b"),
-    )
-    share = F.col("prob") * (F.col("_n") - 1) - F.floor(F.col("prob") * (F.col("_n") - 1))
-    exact = found.withColumn("value", F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(
-        (F.lit(1.0) - share) * F.col("_a") + share * F.col("_b")))
-    out = brackets.select(*keys, "prob", "_n").join(exact.select(*keys, "prob", "value"), [*keys, "prob"], "left")
-    return out.select(*keys, "prob", "value", "_n")
+            F.count(f"_v{i}").alias("n"),
+            F.percentile_approx(f"_v{i}", low, _ACCURACY).alias("low"),
+            F.percentile_approx(f"_v{i}", high, _ACCURACY).alias("high"),
+        ).alias(f"_s{i}")
+        for i in range(len(columns))
+    ]))
+    endless = {"low": float("-inf"), "high": float("inf")}
+    size = len(probs)
+    sketch = sketch.select(*by, *[
+        F.struct(F.col(f"_s{i}").n.alias("n"), *[
+            F.array(*[
+                F.when(F.col(f"_s{i}").n >= 3 / _REACH[0], F.col(f"_s{i}")[side][k])
+                .when(F.col(f"_s{i}").n >= 3 / _REACH[1], F.col(f"_s{i}")[side][size + k]).otherwise(F.lit(endless[side]))
+                for k in range(size)
+            ]).alias(side) for side in ("low", "high")
+        ]).alias(f"_s{i}")
+        for i in range(len(columns))
+    ])
+    if by:
+        placed = df.join(small_side(sketch), by)
+        edge = {(i, side): F.col(f"_s{i}")[side] for i in range(len(columns)) for side in ("low", "high")}
+    else:
+        # One row: the brackets become literals.
+        row = sketch.first()
+        placed = df
+        edge = {
+            (i, side): F.array(*[F.lit(None if row is None or row[f"_s{i}"][side] is None else row[f"_s{i}"][side][k]).cast("double") for k in range(len(probs))])
+            for i in range(len(columns)) for side in ("low", "high")
+        }
+    cells = [(i, k) for i in range(len(columns)) for k in range(len(probs))]
+    below = placed.groupBy(*by).agg(F.array(*[F.count_if(F.col(f"_v{i}") < edge[i, "low"][k]) for i, k in cells]).alias("_below"))
+    inside = placed.select(*by, F.explode(F.filter(
+        F.array(*[F.when((F.col(f"_v{i}") >= edge[i, "low"][k]) & (F.col(f"_v{i}") <= edge[i, "high"][k]), F.struct(F.lit(at).alias("cell"), F.col(f"_v{i}").alias("v"))) for at, (i, k) in enumerate(cells)]),
+        lambda x: x.isNotNull(),
+    )).alias("_x")).select(*by, "_x.*")
+    counted = inside.groupBy(*by, "cell", "v").agg(F.count(F.lit(1)).alias("c"))
+    facts = sketch.join(small_side(below), by) if by else sketch.withColumn("_below", F.array(*[F.lit(x) for x in below.first()[0]]))
+    facts = facts.select(*by, F.posexplode(F.array(*[
+        F.struct(F.lit(columns[i]).alias("column"), F.lit(float(probs[k])).alias("prob"), F.col(f"_s{i}").n.alias("n"), F.col("_below")[at].alias("below"))
+        for at, (i, k) in enumerate(cells)
+    ])).alias("cell", "_f")).select(*by, "cell", "_f.*")
+    upto = F.sum("c").over(Window.partitionBy(*by, "cell").orderBy("v"))
+    joined = counted.withColumn("upto", upto).join(facts, [*by, "cell"])
+    place = F.col("prob") * (F.col("n") - 1)
+    last, first = F.col("below") + F.col("upto"), F.col("below") + F.col("upto") - F.col("c")
+    at_rank = lambda rank: F.max(F.when((first <= rank) & (last > rank), F.col("v")))
+    found = joined.groupBy(*by, "cell").agg(at_rank(F.floor(place)).alias("a"), at_rank(F.ceil(place)).alias("b"))
+    share = place - F.floor(place)
+    value = F.when(F.col("n") == 0, F.lit(None)).when(
+        F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit("a quantile lies outside its bracket"))
+    ).when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.lit(1.0) - share) * F.col("a") + share * F.col("b"))
+    return facts.join(found, [*by, "cell"], "left").select(*by, "column", "prob", value.alias("value"))
 
 
-def medians(df: DataFrame, columns: list[str], inline_rows: int = INLINE_ROWS) -> dict[str, float]:
+def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Median per column; 0.0 where a column has no value."""
-    rows = exact_quantiles(df, columns, [0.5], inline_rows=inline_rows).collect()
-    found = {r["column"]: r["value"] for r in rows}
+    found = {r["column"]: r["value"] for r in exact_quantiles(df, columns, [0.5]).collect()}
     return {c: float(found[c]) if found.get(c) is not None else 0.0 for c in columns}

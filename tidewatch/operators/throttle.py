@@ -5,11 +5,11 @@ An alert goes out if fewer than ``limit`` alerts of its key went out in the last
 on its own output, so it is a fold along time, not a window function. What keeps it distributed:
 
 * Rows of equal (key, clock reading) become one row with a count, on the map side.
-* Silence longer than the window empties the log, so a key's timeline is cut there and the pieces
-  are folded apart.
-* A piece longer than ``segment_rows`` readings is cut further. Its segments are folded one round
-  after another, each starting from the log the last one left (at most ``limit`` times), so a task
-  never holds more than a segment, whatever the key's share of the table.
+* The readings, in (key, time) order, are cut into segments of ``segment_rows``, so a task never holds
+  more than a segment, whatever the key's share of the table.
+* Silence longer than the window between two segments of a key empties the log: what follows is a
+  piece of its own. The segments of one piece are folded one round after another, each starting from the
+  log that the last one left (at most ``limit`` times).
 * Only readings that let something out leave the fold: at most ``limit`` per window and key.
 """
 
@@ -28,7 +28,6 @@ THROTTLE_SECONDS = 60
 THROTTLE_LIMIT = 5
 TICK_MICROS = 1  # resolution of the clock; larger values merge more rows per reading
 SEGMENT_ROWS = 5_000_000
-PIECE_ROWS = 50_000
 
 OUT_SCHEMA = "throttle_key string, tick bigint, allowed bigint, in_window bigint"
 STATE_SCHEMA = "throttle_key string, log array<bigint>, suppressed bigint"
@@ -78,15 +77,6 @@ def _tick(tick_us: int):
 
 def _segments(readings: DataFrame, window_us: int, segment_rows: int) -> tuple[DataFrame, int]:
     """Readings with ``(piece, turn)``: pieces are independent, a piece's turns are not. And the turn count."""
-    largest = readings.groupBy("throttle_key").count().agg(F.max("count")).first()[0] or 0
-    if largest <= segment_rows:
-        # Every key fits one task: pieces only add parallelism, so they are kept above PIECE_ROWS.
-        timeline = Window.partitionBy("throttle_key").orderBy("tick")
-        fresh = F.coalesce(F.col("tick") - F.lag("tick").over(timeline) > window_us, F.lit(True))
-        slot = F.floor((F.row_number().over(timeline) - 1) / PIECE_ROWS).cast("bigint")
-        return readings.withColumn("_slot", F.when(fresh, slot)).withColumn(
-            "piece", F.max("_slot").over(timeline.rowsBetween(Window.unboundedPreceding, 0))
-        ).drop("_slot").withColumn("turn", F.lit(0)), 1
     spread = row_index(readings, ["throttle_key", "tick"], "_at")
     cut = settle(spread.withColumn("_segment", F.floor(F.col("_at") / segment_rows).cast("bigint")).drop("_at"))
     # One row per (key, segment): rows / segment_rows plus the number of keys.
@@ -99,7 +89,8 @@ def _segments(readings: DataFrame, window_us: int, segment_rows: int) -> tuple[D
         "turn", F.row_number().over(Window.partitionBy("throttle_key", "piece").orderBy("_segment")) - 1
     ).select("throttle_key", "_segment", "piece", "turn")
     placed = settle(cut.join(small_side(chained), ["throttle_key", "_segment"]).drop("_segment"))
-    turns = placed.agg(F.max("turn")).first()[0] + 1
+    last = placed.agg(F.max("turn")).first()[0]
+    turns = 1 if last is None else last + 1
     return placed, turns
 
 

@@ -303,6 +303,11 @@ def all_oracles() -> dict[str, str]:
         "sample_class_mix": f"WITH {FLOWS} SELECT flow_id, label FROM flows QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_hash()}) <= CASE label "
                             + " ".join(f"WHEN '{k}' THEN {q}" for k, q in _MIX.items()) + " ELSE 0 END",
         "kfold_assign": f"WITH {FLOWS} SELECT flow_id, label, (row_number() OVER (PARTITION BY label ORDER BY {_hash()}) - 1) % 5 AS fold FROM flows",
+        "kfold_null_labels": f"WITH {FLOWS}, gaps AS (SELECT flow_id, CASE WHEN flow_id % 10 <> 0 THEN label END AS label FROM flows) "
+                             f"SELECT flow_id, label, (row_number() OVER (PARTITION BY label ORDER BY {_hash()}) - 1) % 5 AS fold FROM gaps",
+        "train_clean_rows": f"WITH {FLOWS} SELECT min(flow_id) AS flow_id, ts_us, duration, protocol_type, service, flag, src_bytes, dst_bytes, count, label "
+                            "FROM (SELECT flow_id, ts_us, duration, protocol_type, service, flag, src_bytes, dst_bytes, count, label FROM flows UNION ALL "
+                            "SELECT flow_id + 1000000000, ts_us, duration, protocol_type, service, flag, src_bytes, dst_bytes, count, label FROM flows WHERE flow_id % 3 = 0) GROUP BY ALL",
         "weight_shares": f"WITH {FLOWS} SELECT class, round((SELECT count(*) FROM flows WHERE label = class) / cast((SELECT count(*) FROM flows) AS double), 6) AS share "
                          "FROM (SELECT unnest([" + ", ".join(f"'{c}'" for c in [*CLASS_MIX, "worm"]) + "]) AS class)",
         "correlation_pairs": f"WITH {FLOWS} " + _pairs(corr9, "flows"),

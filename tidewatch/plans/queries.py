@@ -21,7 +21,6 @@ from tidewatch.operators import select as se
 from tidewatch.operators import throttle as th
 from tidewatch.operators.quantiles import exact_quantiles
 from tidewatch.plans.scores import CLASSES, score_flows
-from tidewatch.session import spread_small
 from tidewatch.sources.flow_view import flows, raw_flows
 from tidewatch.streaming import rolling as ro
 
@@ -49,7 +48,7 @@ def big(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def lineitems(spark: SparkSession, d: str) -> DataFrame:
-    return spread_small(spark.read.parquet(f"{d}/lineitem.parquet"))
+    return spark.read.parquet(f"{d}/lineitem.parquet")
 
 
 def engineered(spark: SparkSession, d: str) -> DataFrame:
@@ -258,10 +257,28 @@ def sample_class_mix(spark, d):
     return sa.sample_class_mix(flows(spark, d), "flow_id", 500).select("flow_id", "label")
 
 
+_FACTS = ["ts_us", "duration", "protocol_type", "service", "flag", "src_bytes", "dst_bytes", "count"]
+
+
 def kfold_assign(spark, d):
     return big(sa.assign_folds(flows(spark, d), "flow_id", 5).select("flow_id", "label", "fold"), "fold")
 
 
+def kfold_null_labels(spark, d):
+    """Folds where every tenth label is missing: the rows without one are a class of their own."""
+    gaps = flows(spark, d).withColumn("label", F.when(F.col("flow_id") % 10 != 0, F.col("label")))
+    return big(sa.assign_folds(gaps, "flow_id", 5).select("flow_id", "label", "fold"), "fold")
+
+
+def train_clean_rows(spark, d):
+    """Rows that training sees of a table in which every third flow comes twice, under another id."""
+    from tidewatch.plans.training import distinct_flows
+
+    own = flows(spark, d).select("flow_id", *_FACTS, "label")
+    again = own.where("flow_id % 3 = 0").withColumn("flow_id", F.col("flow_id") + 1_000_000_000)
+    return distinct_flows(own.unionByName(again), "flow_id").select("flow_id", *_FACTS, "label")
+
+
 def weight_shares(spark, d):
     """Class counts of the table as a weight profile over the fixed class list plus one absent class."""
     counts = sa.class_counts(flows(spark, d), "label")
@@ -532,7 +549,8 @@ NAMES = [
     "constant_columns", "nonfinite_to_null", "numeric_coercion", "record_violations", "flow_contract_violations",
     "quarantine_counts", "binary_labels", "byte_cap", "unknown_labels", "medians", "modes", "category_levels",
     "impute_median", "one_hot", "standard_scale", "minmax_scale", "encoded_matrix", "label_encode", "stratified_split",
-    "split_sizes", "sample_random", "sample_per_class", "sample_class_mix", "kfold_assign", "weight_shares",
+    "split_sizes", "sample_random", "sample_per_class", "sample_class_mix", "kfold_assign", "kfold_null_labels",
+    "train_clean_rows", "weight_shares",
     "correlation_pairs", "correlation_lineitem", "drop_correlated", "corr_score", "mutual_info_binned", "topk_features",
     "select_features", "confusion_matrix", "confusion_normalised", "headline_metrics", "per_class_report", "auc_ovr",
     "auc_macro", "roc_points", "label_metrics", "hit_rate", "balanced_weights", "feature_by_class_percentiles",

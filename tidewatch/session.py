@@ -71,16 +71,6 @@ def listed_side(spark: SparkSession, rows: list, schema) -> DataFrame:
     return F.broadcast(table) if len(rows) <= SMALL_SIDE_ROWS else table
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a table that arrives in fewer pieces than there are cores.
-
-    A file of one row group is one task, however wide the work on its rows. A large table arrives in
-    more pieces than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` exists on whatever file system its scheme names."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

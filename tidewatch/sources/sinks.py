@@ -65,7 +65,7 @@ class Fanout:
                     rows.append((batch_id, name, True, n, None))
                 except Exception as error:  # the other channels must still get the batch
                     self.failures[name] = self.failures.get(name, 0) + 1
-                    rows.append((batch_id, name, False, n, str(error)[:500]))
+                    rows.append((batch_id, name, False, n, str(error)))
         finally:
             held.unpersist()
         return self.spark.createDataFrame(rows, OUTCOMES)
