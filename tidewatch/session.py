@@ -75,3 +75,9 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` exists on whatever file system its scheme names."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove ``path`` and what is below it, if it is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

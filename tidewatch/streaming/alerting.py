@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewatch.errors import FlowDataError, check_positive
 from tidewatch.operators.alerts import build_alerts
 from tidewatch.operators.throttle import STATE_SCHEMA, THROTTLE_LIMIT, THROTTLE_SECONDS, TICK_MICROS, throttle_batch
-from tidewatch.session import path_exists, settle
+from tidewatch.session import path_exists, remove_path, settle
 from tidewatch.sources.sinks import Fanout
 from tidewatch.streaming.rolling import BATCH_ROWS, ORDER, WINDOW_ROWS, class_counts, lifetime_stats, micro_batches, newest, rolling_snapshot
 
@@ -81,6 +81,8 @@ class AlertStream:
         ).agg(F.sum("total_processed").alias("total_processed"), F.sum("total_attacks").alias("total_attacks"))
         self._keep(totals, "totals", batch_id)
         self.fanout.dispatch(alerts, batch_id).write.mode("overwrite").parquet(f"{self.folder}/outcomes/batch_id={batch_id}")
+        # A batch may be replayed until the next one is through; older state is never read again.
+        remove_path(self.spark, f"{self.folder}/state/batch={batch_id - 2}")
 
     def start(self, flows: DataFrame, trigger: dict | None = None) -> StreamingQuery:
         return (
