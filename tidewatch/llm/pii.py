@@ -12,8 +12,8 @@ documents, are generalised (numbers, to their form) or removed (words). Only the
 
 from __future__ import annotations
 
-import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import written
+from tidewatch.llm.common import bit_filter, written
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: Words on each side of an entity that count as its company; documents that must show a term with an entity; disclosure threshold.
 NEAR, SUPPORT, DISCLOSED = 8, 3, 0.8
 #: Cells of the fixed-size filter of candidate terms.
 FILTER_BITS = 22
+#: Terms whose counts a task sums up before it hands them on.
+TERMS_AT_ONCE = 200_000
 
 EMAIL_END = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -131,15 +133,16 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, support: int = SUPPORT,
     entities = found.select(F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat(s.kind, F.lit(":"), s.entity)))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     together = written(together)
     # The filter has a fixed size whatever the number of candidates; what passes it by chance falls out of the join.
-    cells = together.select(F.shiftrightunsigned(F.xxhash64("term"), 64 - FILTER_BITS).cast("int").alias("cell")).distinct()
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    for batch in cells.toArrow().to_batches():
-        bits[batch.column(0).to_numpy()] = True
-    packed = np.packbits(bits).tobytes()
+    packed = bit_filter(together.select(F.xxhash64("term").alias("h")), FILTER_BITS)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
+        own = np.unpackbits(packed).view(bool)
         known: dict[bytes, str | None] = {}
+        sums: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array(list(sums.values()), pa.int64())], ["term", "n"])
+
         for batch in batches:
             for value in batch.column(0):
                 terms = set()
@@ -155,10 +158,14 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, support: int = SUPPORT,
                         known[word] = term
                     if term is not None:
                         terms.add(term)
-                if terms:
-                    yield pa.RecordBatch.from_arrays([pa.array(sorted(terms))], ["term"])
-
-    counts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(seen, "term string").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+                sums.update(terms)
+            if len(sums) >= TERMS_AT_ONCE:
+                yield out()
+                sums = Counter()
+        if sums:
+            yield out()
+
+    counts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(seen, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     n = docs.count()
     scored = together.join(counts, "term").join(entities, "entity")
     own = F.log(n / F.col("n_entity"))
