@@ -91,5 +91,7 @@ class Detector:
             ).withColumn("is_attack", is_attack(F.col("predicted_class"), F.col("confidence"), self.threshold)) \
                 .withColumn("class_probabilities", F.create_map(F.col("predicted_class"), F.lit(1.0)))
         every, raw = self.defaulted(df.columns)
-        return shaped.withColumn("defaulted_features", F.lit(every)).withColumn("defaulted_raw", F.lit(raw))
+        # One instant per query, the time of scoring; ``ts_us`` stays the time of the flow.
+        return shaped.withColumn("defaulted_features", F.lit(every)).withColumn("defaulted_raw", F.lit(raw)) \
+            .withColumn("scored_at", F.current_timestamp())
 

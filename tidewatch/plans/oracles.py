@@ -260,7 +260,7 @@ def all_oracles() -> dict[str, str]:
         tests = [f"abs({_corr(a, b)}) > 0.9" for a in RANKED[:j]]
         later.append(f"SELECT '{b}' AS feature, {j} AS place, {' OR '.join(tests) if tests else 'count(*) < 0'} AS gone FROM ix")
     gone = " UNION ALL ".join(later)
-    return {
+    found = {
         "engineer_features": f"WITH {ENG} SELECT flow_id, " + ", ".join(
             c if c == "duration_band" else f"cast({c} AS bigint) AS {c}" if c in _WHOLE else f"round({c}, {_round_for(c)}) AS {c}" for c in sorted(_FORMULAS)) + " FROM eng",
         "zero_filled_inputs": f"WITH {ENG} SELECT flow_id, wrong_fragment, num_failed_logins, num_compromised, round(dst_host_srv_diff_host_rate, 6) AS dst_host_srv_diff_host_rate FROM eng",
@@ -303,6 +303,15 @@ def all_oracles() -> dict[str, str]:
         "sample_class_mix": f"WITH {FLOWS} SELECT flow_id, label FROM flows QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_hash()}) <= CASE label "
                             + " ".join(f"WHEN '{k}' THEN {q}" for k, q in _MIX.items()) + " ELSE 0 END",
         "kfold_assign": f"WITH {FLOWS} SELECT flow_id, label, (row_number() OVER (PARTITION BY label ORDER BY {_hash()}) - 1) % 5 AS fold FROM flows",
+        "csv_round_trip": f"WITH {FLOWS} SELECT flow_id, service, src_bytes, label FROM flows",
+        "parquet_built_once": f"WITH {FLOWS} SELECT flow_id, flag, dst_bytes, label FROM flows",
+        "target_contract": f"WITH {FLOWS}, c AS (SELECT 'as it is' AS \"case\", label, TRUE AS here FROM flows UNION ALL SELECT 'gaps', CASE WHEN flow_id % 10 <> 0 THEN label END, TRUE FROM flows "
+                           "UNION ALL SELECT 'one class', label, label = 'normal' FROM flows UNION ALL SELECT 'no rows', label, flow_id < 0 FROM flows) "
+                           "SELECT \"case\", count(CASE WHEN here AND label IS NULL THEN 1 END) > 0 OR count(DISTINCT CASE WHEN here THEN label END) < 2 AS refused FROM c GROUP BY \"case\"",
+        "split_single_row_class": f"WITH {FLOWS}, r AS (SELECT flow_id, row_number() OVER (ORDER BY {_hash()}) AS r, ceil(count(*) OVER () * 0.15) AS t, count(*) OVER () AS n FROM flows) "
+                                  "SELECT flow_id, CASE WHEN r <= t THEN 'test' WHEN r <= t + ceil((n - t) * (0.15 / (1 - 0.15))) THEN 'val' ELSE 'train' END AS split FROM r",
+        "saved_model_scores": "SELECT count(*) AS flows, cast(0 AS bigint) AS other_class, cast(0 AS bigint) AS other_confidence, cast(1 AS bigint) AS inputs_defaulted, "
+                              "cast(0 AS bigint) AS without_time FROM events",
         "kfold_null_labels": f"WITH {FLOWS}, gaps AS (SELECT flow_id, CASE WHEN flow_id % 10 <> 0 THEN label END AS label FROM flows) "
                              f"SELECT flow_id, label, (row_number() OVER (PARTITION BY label ORDER BY {_hash()}) - 1) % 5 AS fold FROM gaps",
         "train_clean_rows": f"WITH {FLOWS} SELECT min(flow_id) AS flow_id, ts_us, duration, protocol_type, service, flag, src_bytes, dst_bytes, count, label "
@@ -366,3 +375,8 @@ def all_oracles() -> dict[str, str]:
                            "FROM det WINDOW w AS (ORDER BY ts_us, flow_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)) SELECT *, round(attacks / cast(processed AS double), 4) AS attack_rate FROM run",
         "micro_batches": f"WITH {FLOWS} SELECT flow_id, (row_number() OVER (ORDER BY ts_us, flow_id) - 1) // 100 AS batch_no FROM flows",
     }
+    # What is written and read back must equal what it was.
+    found["report_read_back"] = found["class_distribution"]
+    found["selection_read_back"] = found["topk_features"]
+    found["alerts_json_lines"] = f"SELECT flow_id, alert_id, severity, throttle_key FROM ({found['alert_messages']})"
+    return found

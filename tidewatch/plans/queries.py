@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.errors import FlowDataError
 from tidewatch.functions.columns import CATEGORICAL, CLASS_MIX, FEATURES, NUMERIC
 from tidewatch.functions.flow_features import derived_names, duration_band, engineer
 from tidewatch.functions.numbers import to_number
@@ -481,6 +482,113 @@ def _scratch(spark: SparkSession) -> str:
     return f"{checkpoint_folder(spark)}/tidewatch-{uuid.uuid4().hex}"
 
 
+# ---- sources, contracts, saved models -----------------------------------------------------------
+
+
+def csv_round_trip(spark, d):
+    """Flows written as CSV under padded column names and read back."""
+    from tidewatch.sources.tables import read_flows, write_flows
+
+    own = flows(spark, d).select("flow_id", "service", "src_bytes", "label")
+    path = write_flows(own.toDF(*[f" {c} " for c in own.columns]), f"{_scratch(spark)}/flows.csv")
+    return read_flows(spark, path, schema="` flow_id ` bigint, ` service ` string, ` src_bytes ` bigint, ` label ` string")
+
+
+def parquet_built_once(spark, d):
+    """A table that is built where it is absent and read where it is there: the second builder must not run."""
+    from tidewatch.sources.tables import read_or_build
+
+    own, path = flows(spark, d).select("flow_id", "flag", "dst_bytes", "label"), f"{_scratch(spark)}/flows.parquet"
+    read_or_build(spark, path, lambda: own)
+    return read_or_build(spark, path, lambda: own.limit(0))
+
+
+def report_read_back(spark, d):
+    """The class distribution written as a report and read again."""
+    from tidewatch.sources.tables import write_report
+
+    path = write_report({"classes": class_distribution(spark, d)}, _scratch(spark))["classes"]
+    return spark.read.schema("class string, n bigint, share double").json(path)
+
+
+def selection_read_back(spark, d):
+    """The correlation selection written and read again."""
+    from tidewatch.sources.tables import read_selection, write_selection
+
+    path = f"{_scratch(spark)}/selection"
+    write_selection(spark, se.Selection("correlation", *_by_correlation(spark, d)), path)
+    found = read_selection(spark, path)
+    return rounded(spark.createDataFrame([(f, found.scores[f]) for f in found.selected], "feature string, score double"), score=6)
+
+
+def _by_correlation(spark, d):
+    scores = {r["feature"]: r["score"] for r in topk_features(spark, d).collect()}
+    return list(scores), scores
+
+
+def alerts_json_lines(spark, d):
+    """Alerts as JSON lines; a channel that fails beside it must not keep them back."""
+    from tidewatch.sources.sinks import Fanout, json_lines
+
+    def broken(alerts, batch_id):
+        raise RuntimeError("out of order")
+
+    path = _scratch(spark)
+    Fanout(spark, {"broken": broken, "lines": json_lines(path)}).dispatch(candidates(spark, d).select("flow_id", "alert_id", "severity", "throttle_key"), 0)
+    return spark.read.schema("flow_id bigint, alert_id string, severity string, throttle_key string").json(f"{path}/batch_id=0")
+
+
+def target_contract(spark, d):
+    """Whether a label column is refused: as it is, with gaps, with one class, and without rows."""
+    own = flows(spark, d).select("flow_id", "label")
+    cases = {
+        "as it is": own, "gaps": own.withColumn("label", F.when(F.col("flow_id") % 10 != 0, F.col("label"))),
+        "one class": own.where("label = 'normal'"), "no rows": own.where("flow_id < 0"),
+    }
+
+    def refused(df):
+        try:
+            qu.check_target(df, "label")
+        except FlowDataError:
+            return True
+        return False
+
+    return spark.createDataFrame([(name, refused(df)) for name, df in cases.items()], "case string, refused boolean")
+
+
+def split_single_row_class(spark, d):
+    """A class of one row cannot be stratified: the draws are over all rows."""
+    own = flows(spark, d).select("flow_id", F.when(F.col("flow_id") == 0, "alone").otherwise(F.col("label")).alias("label"))
+    return sa.split_rows(own, "flow_id", "label").select("flow_id", "split")
+
+
+def saved_model_scores(spark, d):
+    """A saved model's class and confidence against its exported coefficients, on flows that lack one of its inputs."""
+    from tidewatch.operators.detect import Detector
+    from tidewatch.sources.registry import ModelRegistry
+
+    root = _scratch(spark)
+    _one_model(spark, d, root)
+    bundle = ModelRegistry(spark, root).load()
+    detector = Detector(bundle)
+    given = model_flows(spark, d).drop("num_compromised", "label")
+    inner = bundle.model.stages[0]
+    inputs = detector.prepare(given, ["flow_id"])
+    scores = F.array(*[
+        sum((F.col(f) * float(w) for f, w in zip(bundle.features, weights)), F.lit(float(bias)))
+        for weights, bias in zip(inner.coefficientMatrix.toArray(), inner.interceptVector.toArray())
+    ])
+    parts = F.transform(scores, lambda z: F.exp(z - F.array_max(scores)))
+    share = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+    mine = inputs.select(F.col("_keep_flow_id").alias("flow_id"), F.get(F.array(*[F.lit(c) for c in bundle.classes]), (F.array_position(parts, F.array_max(parts)) - 1).cast("int")).alias("_class"), (F.array_max(parts) / share).alias("_confidence"))
+    both = detector.detect(given).join(mine, "flow_id")
+    return both.agg(
+        F.count(F.lit(1)).alias("flows"), F.count_if(F.col("predicted_class") != F.col("_class")).alias("other_class"),
+        F.count_if(F.abs(F.col("confidence") - F.col("_confidence")) > 1e-9).alias("other_confidence"), F.max("defaulted_raw").cast("bigint").alias("inputs_defaulted"),
+        F.count_if(F.col("scored_at").isNull()).alias("without_time"),
+    )
+
+
 def stream_alerts(spark, d):
     """The alert stream over the events file: same rows as ``throttle_alerts``."""
     from tidewatch.plans.live import replay_events
@@ -557,7 +665,9 @@ NAMES = [
     "histogram_by_class", "softmax_scores", "detect_rows", "batch_summary", "severity_grade", "alert_messages",
     "severity_counts", "recent_alerts", "minimum_severity", "alert_counters", "throttle_alerts", "throttle_decisions",
     "suppressed_totals", "alerts_sent", "rolling_stats", "rolling_class_counts", "trending_class", "lifetime_stats",
-    "running_totals", "rolling_per_row", "micro_batches", "stream_alerts", "rf_importance", "rfe_rank", "pca_projection",
+    "running_totals", "rolling_per_row", "micro_batches", "csv_round_trip", "parquet_built_once",
+    "report_read_back", "selection_read_back", "alerts_json_lines", "target_contract", "split_single_row_class",
+    "saved_model_scores", "stream_alerts", "rf_importance", "rfe_rank", "pca_projection",
     "train_compare", "evaluate_saved", "registry_list",
 ]
 
