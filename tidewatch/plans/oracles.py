@@ -310,7 +310,8 @@ def all_oracles() -> dict[str, str]:
                            "SELECT \"case\", count(CASE WHEN here AND label IS NULL THEN 1 END) > 0 OR count(DISTINCT CASE WHEN here THEN label END) < 2 AS refused FROM c GROUP BY \"case\"",
         "split_single_row_class": f"WITH {FLOWS}, r AS (SELECT flow_id, row_number() OVER (ORDER BY {_hash()}) AS r, ceil(count(*) OVER () * 0.15) AS t, count(*) OVER () AS n FROM flows) "
                                   "SELECT flow_id, CASE WHEN r <= t THEN 'test' WHEN r <= t + ceil((n - t) * (0.15 / (1 - 0.15))) THEN 'val' ELSE 'train' END AS split FROM r",
-        "saved_model_scores": "SELECT count(*) AS flows, cast(0 AS bigint) AS other_class, cast(0 AS bigint) AS other_confidence, cast(1 AS bigint) AS inputs_defaulted, "
+        # Without num_compromised neither it nor the two privilege columns that need it can be had: three defaults.
+        "saved_model_scores": "SELECT count(*) AS flows, cast(0 AS bigint) AS other_class, cast(0 AS bigint) AS other_confidence, cast(3 AS bigint) AS inputs_defaulted, "
                               "cast(0 AS bigint) AS without_time FROM events",
         "kfold_null_labels": f"WITH {FLOWS}, gaps AS (SELECT flow_id, CASE WHEN flow_id % 10 <> 0 THEN label END AS label FROM flows) "
                              f"SELECT flow_id, label, (row_number() OVER (PARTITION BY label ORDER BY {_hash()}) - 1) % 5 AS fold FROM gaps",
