@@ -30,7 +30,7 @@ WINDOW, GRAM = 50, 6
 #: Word groups with at least one in so many of all occurrences rank last: at most that many, whatever the corpus' size.
 FREQUENT_ONE_IN = 1 << 16
 #: Windows cut at a time from a long text (their places fit PLACE_BITS), packed strings put together before they are handed on, words remembered.
-WINDOWS_AT_ONCE, PLACE_BITS, STRINGS_AT_ONCE, WORDS_KEPT = 1 << 18, 20, 20_000, 500_000
+WINDOWS_AT_ONCE, PLACE_BITS, STRINGS_AT_ONCE, WORDS_KEPT = 1 << 18, 20, 20_000, 200_000
 #: Bits of the filters of repeated minimisers and of strings with a repeat.
 MINIMISER_BITS, STRING_BITS = 25, 22
 MULTIPLIERS = [np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) for k in range(1, 65)]
