@@ -251,6 +251,14 @@ def test_substrings_few_words_short_windows(spark):
     assert substring.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_substrings_rows_of_one_id_with_unlike_texts(spark):
+    shared = " ".join(f"s{k}" for k in range(10))
+    long, short = " ".join(f"l{k}" for k in range(60)) + " " + shared, "x y " + shared
+    docs = docs_of(spark, [shared, long, short, short, "z " + shared], [1, 7, 7, 7, None])
+    found = sorted((r.id or 0, r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(docs, window=8, gram=2).collect())
+    assert found == sorted([(1, 10, 0, shared), (7, 70, 10, long.removesuffix(" " + shared)), (7, 12, 10, "x y"), (7, 12, 10, "x y"), (0, 11, 0, "z " + shared)])
+
+
 def test_sliding_least():
     values = np.random.default_rng(1).integers(0, 50, 300).astype(np.uint64)
     for width in (1, 3, 45, 300):

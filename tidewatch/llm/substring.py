@@ -133,7 +133,10 @@ def _digest(text: bytes) -> bytes:
 
 
 def repeated_windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """``id`` and ``marks``: array of (first window, smallest id per window) where a window's words also start in a smaller id."""
+    """``id``, ``hash`` and ``marks``: array of (first window, smallest id per window) where a window's words also start in a smaller id.
+
+    ``texts`` has ``id``, ``raw`` and ``hash`` of ``raw``: places belong to a text, and rows that share an id may have several.
+    """
     last = _frequent(texts, window, gram)
 
     def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,19 +218,20 @@ def repeated_windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, ids, at = [], [], []
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+            digests, ids, hashes, at = [], [], [], []
+            for doc, value, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 for _, text, first in pieces((value.as_py() or b"").split()):
                     digests.append(_digest(text))
                     ids.append(doc)
+                    hashes.append(own)
                     at.append(first)
             keep = passes(repeats, np.fromiter((xxhash.xxh64_intdigest(d, 42) for d in digests), np.uint64, len(digests)), STRING_BITS)
-            out = pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(at, pa.int64())], ["digest", "id", "at"])
+            out = pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(at, pa.int64())], ["digest", "id", "hash", "at"])
             yield out.filter(pa.array(keep))
 
-    found = texts.mapInArrow(places, "digest binary, id long, at long")
+    found = texts.mapInArrow(places, "digest binary, id long, hash long, at long")
     hits = found.join(least, "digest").where(F.exists("least", lambda x: x < F.col("id")))
-    return hits.groupBy("id").agg(F.collect_list(F.struct("at", "least")).alias("marks"))
+    return hits.groupBy("id", "hash").agg(F.collect_list(F.struct("at", "least")).alias("marks"))
 
 
 def _bucket(texts: list[bytes], first: list[int], most: list[int], window: int) -> list[tuple[bytes, list[int]]]:
@@ -253,10 +257,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row ``id``, ``n_words``, ``n_removed``, ``kept`` (the words left, joined by one space) per row of ``docs``.
 
     Null texts have no words; texts shorter than a window lose none. Rows that share an id are one document
-    to each other: what only they share stays. A row whose id is null has no smaller id than itself and is not
+    to each other: what only they share stays, and each loses the words of its own text only. A row whose id is null has no smaller id than itself and is not
     smaller than any: it keeps all its words and takes none away. An empty table gives an empty one.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw")).withColumn("hash", F.xxhash64("raw"))
     marks = repeated_windows(texts.where("id is not null and raw is not null"), window, gram)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,5 +283,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept.append(b" ".join(left))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], ["id", "n_words", "n_removed", "kept"])
 
-    joined = texts.join(marks.hint("merge"), "id", "left").select("id", "raw", "marks")
+    joined = texts.join(marks.hint("merge"), ["id", "hash"], "left").select("id", "raw", "marks")
     return joined.mapInArrow(work, "id long, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
