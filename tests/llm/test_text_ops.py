@@ -214,6 +214,26 @@ def test_disclosure_equals_its_formula(spark):
     assert terms == {t for t, v in share.items() if v >= 0.5}
 
 
+def test_terms_of_a_mail_domain_and_of_two_documents(spark):
+    filler = [f"plain words number {k} of no meaning" for k in range(60)]
+    domain = [f"Quorvex wrote {k} from user{k}@quor.example.com" for k in range(4)]
+    pair = [f"text {k} Hapaxo and card 4111 1111 1111 1111" for k in range(2)]
+    docs = docs_of(spark, [*domain, *pair, "Solitary met one@else.example.net", *filler])
+    terms = {s.entity for r in pii.personal_data(docs).collect() for s in r.spans if s.kind == "term"}
+    assert {"quorvex", "hapaxo"} <= terms and not terms & {"solitary", "plain", "words"}
+
+
+def test_terms_far_from_the_entity_and_in_other_texts(spark):
+    far = " ".join(["filler"] * 30)
+    texts = [f"Zorblatt, the clerk {far} mail anna.k@site7.example.com {far} signed (Zorblatt)" for _ in range(6)]
+    texts += ["a letter by Zorblatt, and no address"] + ["the clerk and mail, signed, no address, a letter by filler"] * 40
+    docs = docs_of(spark, texts, [*range(46), None])
+    found = sorted(((r.id, r.spans) for r in pii.personal_data(docs).collect()), key=lambda x: (x[0] is None, x[0] or 0))
+    marked = [[texts[k][s.start : s.end] for s in spans if s.kind == "term"] for k, (_, spans) in enumerate(found)]
+    assert marked == [["Zorblatt"] * 2] * 6 + [["Zorblatt"]] + [[]] * 40
+    assert "Zorblatt" not in " ".join(r.text for r in pii.sanitise(docs).collect())
+
+
 # Substrings
 
 

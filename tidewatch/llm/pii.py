@@ -1,20 +1,22 @@
 """Personal data: exact patterns, and terms that give the found persons away.
 
-E-mail addresses, IP addresses, card and phone numbers are protected entities. The corpus says how strongly a
-term near an entity reveals it: with document counts n, the pointwise mutual information of term t and entity
+E-mail addresses, IP addresses, card and phone numbers are protected entities; so is the group each belongs to (mail
+domain, address or number without its last part), which repeats where single entities do not. The corpus says how
+strongly a term reveals an entity: with document counts n, the pointwise mutual information of term t and entity
 e against the information that e itself carries,
 
-    disclosure(t, e) = log(N n(t, e) / (n(t) n(e))) / log(N / n(e)),
+    disclosure(t, e) = (1 - CHANCE ^ n(t, e)) log(N n(t, e) / (n(t) n(e))) / log(N / n(e)),
 
-which is 1 where t never occurs without e. Terms at or above a threshold, seen with the entity in enough
-documents, are generalised (numbers, to their form) or removed (words). Only the occurrences near that entity are.
+where the quotient is 1 if t never occurs without e, and the factor smooths it: the fewer documents show both, the less
+it counts. A document shows both wherever in it they stand. Terms at or above a threshold for some entity are
+generalised (numbers, to their form) or removed (words), wherever they stand in any text.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import bit_filter, written
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-#: Words on each side of an entity that count as its company; documents that must show a term with an entity; disclosure threshold.
-NEAR, SUPPORT, DISCLOSED = 8, 3, 0.8
+#: Smoothing, the weight of chance in one shared document; disclosure threshold.
+CHANCE, DISCLOSED = 0.4, 0.8
 #: Cells of the fixed-size filter of candidate terms.
 FILTER_BITS = 22
 #: Terms whose counts a task sums up before it hands them on.
@@ -96,48 +98,67 @@ def generalised(term: str) -> str:
     return re.sub("[0-9]", "0", term) if NUMBER.fullmatch(term) else ""
 
 
-def company(text: str, spans: list[tuple[int, int, str, str]], near: int = NEAR) -> list[tuple[str, str, int, int]]:
-    """(term, entity, start, end) of the words within ``near`` words of an entity and outside all of them."""
-    if not spans:
-        return []
-    words = [m.span() for m in WORD.finditer(text)]
-    begins, ends = np.array([w[0] for w in words]), np.array([w[1] for w in words])
-    taken = np.zeros(len(words), bool)
-    places = []
-    for a, b, kind, entity in spans:
-        lo, hi = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(begins, b, "left"))
-        taken[lo:hi] = True
-        places.append((lo, hi, f"{kind}:{entity}"))
-    out = set()
-    for lo, hi, entity in places:
-        for k in [*range(max(0, lo - near), lo), *range(hi, min(len(words), hi + near))]:
-            if not taken[k] and (term := term_of(text[words[k][0] : words[k][1]])) is not None:
-                a, b = words[k]
-                inner = TERM.search(text[a:b])
-                out.add((term, entity, a + inner.start(), a + inner.end()))
-    return sorted(out, key=lambda t: (t[2], t[0], t[1]))
+def groups(kind: str, entity: str) -> list[str]:
+    """Names of what a term can reveal: the entity, and its mail domain, address without the last part or number without the last four digits."""
+    group = {"email": lambda: "@" + entity.rpartition("@")[2], "ip": lambda: entity.rpartition(".")[0] + ".*"}.get(kind, lambda: entity[:-4] + "*")()
+    return [f"{kind}:{entity}", f"{kind}:{group}"]
+
+
+def free_words(text: str, spans: list[tuple[int, int, str, str]]) -> Iterator[tuple[int, str]]:
+    """(start, word) of the words outside all spans (by start)."""
+    k, done = 0, 0
+    for m in WORD.finditer(text):
+        while k < len(spans) and spans[k][0] < m.end():
+            done = max(done, spans[k][1])
+            k += 1
+        if m.start() >= done:
+            yield m.start(), m.group()
+
+
+def company(text: str, spans: list[tuple[int, int, str, str]]) -> list[str]:
+    """The different terms of a text with entities, outside all of them."""
+    return sorted({term_of(w) for w in {w for _, w in free_words(text, spans)}} - {None}) if spans else []
 
 
 SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("entity", pa.string())])
-NEARBY = pa.struct([("term", pa.string()), ("entity", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
 
 def _cell(term: str) -> int:
     return xxhash.xxh64_intdigest(term, 42) >> (64 - FILTER_BITS)
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
-    """Pairs ``term``, ``entity`` at or above the threshold. ``found``: rows with ``nearby``; ``docs``: all texts (``text``), for the counts."""
-    pairs = found.select("row", F.explode("nearby").alias("x")).select("row", "x.term", "x.entity").distinct()
-    together = pairs.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
-    entities = found.select(F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat(s.kind, F.lit(":"), s.entity)))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+def wanted_terms(packed: np.ndarray) -> Callable[[str], str | None]:
+    """``term_of`` for words whose terms pass the filter, None for the others; remembers a bounded number of words."""
+    own = np.unpackbits(packed).view(bool)
+    known: dict[str, str | None] = {}
+
+    def find(word: str) -> str | None:
+        if word in known:
+            return known[word]
+        term = term_of(word)
+        if term is not None and not own[_cell(term)]:
+            term = None
+        if len(known) >= TERMS_AT_ONCE:
+            known.clear()
+        known[word] = term
+        return term
+
+    return find
+
+
+def disclosing_terms(found: DataFrame, docs: DataFrame, disclosed: float = DISCLOSED) -> DataFrame:
+    """Pairs ``term``, ``entity`` at or above the threshold. ``found``: rows with ``spans``, ``entities`` and ``terms``; ``docs``: all texts (``text``), for the counts."""
+    sure = 1 - F.pow(F.lit(CHANCE), F.col("n_both"))
+    pairs = found.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term"))
+    # The quotient is 1 at most: pairs whose factor is below the threshold cannot reach it, whatever the other counts.
+    together = pairs.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_both")).where(sure >= disclosed)
+    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     together = written(together)
     # The filter has a fixed size whatever the number of candidates; what passes it by chance falls out of the join.
     packed = bit_filter(together.select(F.xxhash64("term").alias("h")), FILTER_BITS)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.unpackbits(packed).view(bool)
-        known: dict[bytes, str | None] = {}
+        find = wanted_terms(packed)
         sums: Counter = Counter()
 
         def out() -> pa.RecordBatch:
@@ -145,19 +166,8 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, support: int = SUPPORT,
 
         for batch in batches:
             for value in batch.column(0):
-                terms = set()
-                for word in set((value.as_py() or b"").split()) if own.any() else ():
-                    if word in known:
-                        term = known[word]
-                    else:
-                        term = term_of(word.decode())
-                        if term is not None and not own[_cell(term)]:
-                            term = None
-                        if len(known) >= 200_000:
-                            known.clear()
-                        known[word] = term
-                    if term is not None:
-                        terms.add(term)
+                words = {w.decode() for w in (value.as_py() or b"").split()} if packed.any() else ()
+                terms = {term for word in words if (term := find(word)) is not None}
                 sums.update(terms)
             if len(sums) >= TERMS_AT_ONCE:
                 yield out()
@@ -169,45 +179,73 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, support: int = SUPPORT,
     n = docs.count()
     scored = together.join(counts, "term").join(entities, "entity")
     own = F.log(n / F.col("n_entity"))
-    share = F.when(own > 0, F.log(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / own).otherwise(0.0)
+    share = F.when(own > 0, sure * F.log(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / own).otherwise(0.0)
     return scored.select("term", "entity", share.alias("disclosure")).where(F.col("disclosure") >= disclosed)
 
 
-def personal_data(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR, support: int = SUPPORT, disclosed: float = DISCLOSED, with_text: bool = False
-) -> DataFrame:
-    """One row ``id``, ``spans`` (array of ``start``, ``end``, ``kind``, ``entity`` by start, then kind), with the text if asked, per row of ``docs``.
+def term_places(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``id``, ``hash`` and ``terms``, the spans of all occurrences of ``terms`` (``term``) outside entities, of the texts in ``docs`` (``id``, ``text``, ``hash``) that have any."""
+    terms = written(terms)
+    # The filter has a fixed size whatever the number of terms; what passes it by chance falls out of the join.
+    packed = bit_filter(terms.select(F.xxhash64("term").alias("h")), FILTER_BITS)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = wanted_terms(packed)
+        for batch in batches:
+            at, begins, ends, found = [], [], [], []
+            for k, value in enumerate(batch.column(1) if packed.any() else ()):
+                text = value.as_py()
+                if not any(find(w) is not None for w in {w.decode() for w in text.encode().split()}):
+                    continue
+                for start, word in free_words(text, base_spans(text)):
+                    if (term := find(word)) is not None:
+                        inner = TERM.search(word)
+                        at.append(k)
+                        begins.append(start + inner.start())
+                        ends.append(start + inner.end())
+                        found.append(term)
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(begins, pa.int32()), pa.array(ends, pa.int32()), pa.array(found, pa.string())], ["id", "hash", "start", "end", "term"])
+
+    hits = docs.select("id", "text", "hash").mapInArrow(places, "id long, hash long, start int, end int, term string").join(terms, "term")
+    return hits.groupBy("id", "hash").agg(F.collect_set(F.struct("start", "end", F.lit("term").alias("kind"), F.col("term").alias("entity"))).alias("terms"))
+
+
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosed: float = DISCLOSED, with_text: bool = False) -> DataFrame:
+    """One row ``row``, ``id``, ``spans`` (array of ``start``, ``end``, ``kind``, ``entity`` by start, then kind), with the text if asked, per row of ``docs``.
 
     Null texts count as empty and have no spans; repeated rows are documents of their own, in the counts too.
-    Spans of different kinds may overlap; a kind's own do not. ``term`` spans stand only near the entity that
-    they reveal. An empty table gives an empty one.
+    Spans of different kinds may overlap; a kind's own do not. ``term`` spans stand wherever the term does, also
+    in texts without the entity that it reveals, but not inside other spans. An empty table gives an empty one.
     """
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = texts.withColumn("hash", F.xxhash64("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, nearby = [], []
+            spans, entities, terms = [], [], []
             for value in batch.column(2):
                 text = value.as_py()
                 own = base_spans(text)
                 spans.append([dict(zip(("start", "end", "kind", "entity"), s)) for s in own])
-                nearby.append([dict(zip(("term", "entity", "start", "end"), c)) for c in company(text, own, near)])
-            arrays = [batch.column(0), batch.column(1), pa.array(spans, pa.list_(SPAN)), pa.array(nearby, pa.list_(NEARBY))]
-            names = ["row", "id", "spans", "nearby"]
+                entities.append(sorted({g for _, _, kind, entity in own for g in groups(kind, entity)}))
+                terms.append(company(text, own))
+            names = ["row", "id", "hash", "spans", "entities", "terms"]
+            arrays = [batch.column(0), batch.column(1), batch.column(3), pa.array(spans, pa.list_(SPAN)), pa.array(entities, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.string()))]
             if with_text:
                 arrays, names = [*arrays, batch.column(2)], [*names, "text"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    shape = "row long, id long, spans array<struct<start:int,end:int,kind:string,entity:string>>, nearby array<struct<term:string,entity:string,start:int,end:int>>"
+    shape = "row long, id long, hash long, spans array<struct<start:int,end:int,kind:string,entity:string>>, entities array<string>, terms array<string>"
     found = written(texts.mapInArrow(scan, shape + (", text string" if with_text else "")))
-    pairs = disclosing_terms(found, texts, support, disclosed)
-    close = found.select("row", F.explode("nearby").alias("x")).select("row", "x.*").join(pairs.select("term", "entity"), ["term", "entity"])
-    terms = close.groupBy("row").agg(F.collect_set(F.struct("start", "end", F.lit("term").alias("kind"), F.col("term").alias("entity"))).alias("terms"))
+    terms = term_places(texts, disclosing_terms(found, texts, disclosed).select("term").distinct())
+    # By id and text: the places of a text are the same in each of its rows, and row numbers need not be in a second reading.
+    terms = terms.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("terms").alias("_terms"))
     order = F.array(*[F.lit(k) for k in KINDS])
-    every = F.concat("spans", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,kind:string,entity:string>>")))
+    every = F.concat("spans", F.coalesce("_terms", F.array().cast("array<struct<start:int,end:int,kind:string,entity:string>>")))
     ranked = F.array_sort(F.transform(every, lambda s: F.struct(s.start, F.array_position(order, s.kind).alias("rank"), s.end, s.kind, s.entity)))
     spans = F.transform(ranked, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"), s.entity.alias("entity")))
-    out = found.join(terms, "row", "left").withColumn("spans", spans)
+    out = found.drop("terms").join(terms, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left").withColumn("spans", spans)
     return out.select("row", "id", "spans", *(["text"] if with_text else []))
 
 
