@@ -156,6 +156,17 @@ def test_quality_score_is_the_mean_ratio(spark):
         assert r.score == pytest.approx(want, abs=1e-9)
 
 
+def test_stages_keep_unlike_texts_of_one_id_and_null_ids(spark):
+    random.seed(8)
+    vocab = ["".join(random.choices("abcdefghij", k=6)) for _ in range(900)]
+    good = [" ".join(random.choices(vocab, k=80)) for _ in range(6)]
+    docs = docs_of(spark, [*good, "too short"], [1, 2, 2, None, None, 3, 2])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    kept = quality_llr.keep_good(docs, labels)
+    assert sorted(r.text for r in kept.collect()) == sorted(good)
+    assert sorted(r.text for r in simhash_ball.keep_one(kept).collect()) == sorted(good)
+
+
 # Personal data
 
 PATTERNS = [

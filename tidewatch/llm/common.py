@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.session import checkpoint_folder
@@ -79,6 +79,22 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+def one_each(docs: DataFrame, classes: DataFrame, edges: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row for each connected component of ``classes``: ``node``, ``rep`` (its smallest ``id`` and ``hash`` of a text); ``edges`` tie nodes.
+
+    The row is that of the smallest id and text hash, so unlike texts that share an id are not taken for one; of rows
+    with one id and text one stays, whatever the order of tasks. Rows whose id is null are all kept.
+    """
+    linked = components(edges)
+    found = classes.join(linked, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("rep").alias("rep"))
+    found = found.select(F.col("rep.id").alias("_rep_id"), F.col("rep.hash").alias("_rep_hash"))
+    own = F.xxhash64(docs[text_col].cast("string"))
+    kept = docs.join(found.hint("merge"), (docs[id_col].cast("long") == F.col("_rep_id")) & (own == F.col("_rep_hash")))
+    order = Window.partitionBy("_rep_id", "_rep_hash").orderBy(F.xxhash64(*[docs[c] for c in docs.columns if c != text_col]))
+    kept = kept.withColumn("_rep_place", F.row_number().over(order)).where("_rep_place = 1").select(*docs.columns)
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import components, written
+from tidewatch.llm.common import components, one_each, written
 
 WORDS_PER_SHINGLE = 3
 RADIUS = 2
@@ -79,11 +79,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each group of near copies: the row of the smallest id (one of the rows that share that id).
+    """``docs`` with one row of each group of near copies: that of the smallest id and, within it, text hash. Rows whose id is null are all kept."""
 
-    Rows whose id is null cannot be told apart by it and are all kept.
-    """
-    found = near_copies(docs.where(F.col(id_col).isNotNull()), id_col, text_col, radius)
-    chosen = found.select(F.col("component").alias("_chosen")).distinct()
-    kept = docs.join(chosen.hint("merge"), docs[id_col].cast("long") == F.col("_chosen"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [fingerprint(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints, pa.int64())], ["id", "hash", "node"])
+
+    texts = docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"), F.xxhash64(F.col(text_col).cast("string")).alias("hash")
+    )
+    classes = written(texts.mapInArrow(work, "id long, hash long, node long").groupBy("node").agg(F.min(F.struct("id", "hash")).alias("rep")))
+    return one_each(docs, classes, ball_edges(classes.select(F.col("node").alias("fp")), radius), id_col, text_col)
