@@ -2,7 +2,8 @@
 
 Byte-pair encoding has this property: the tokens of a prefix are the tokens of a shorter prefix and one
 more. So for every prefix the one right last token is stored: of the vocabulary's tokens that end there
-(matches of a suffix automaton) it is the one that may follow the last token of the prefix before it.
+(matches of an Aho-Corasick automaton: at each place it gives the same tokens as a suffix automaton
+would, and there is a compiled one in pyahocorasick) it is the one that may follow the last token of the prefix before it.
 Following these pointers back gives the ids. The vocabulary is given, never trained.
 """
 
