@@ -13,11 +13,14 @@ from tidewatch.llm.bpe import encode_decode
 from tidewatch.llm.chat import format_chats
 from tidewatch.llm.common import table
 from tidewatch.llm.embed_dedup import near_vectors
+from tidewatch.llm.language import predict_language
 from tidewatch.llm.mixing import mixed
+from tidewatch.llm.periodic import collapse_runs, plant_runs
 from tidewatch.llm.pii import KINDS, personal_data
 from tidewatch.llm.quality_llr import judge
 from tidewatch.llm.simhash_ball import near_copies
 from tidewatch.llm.substring import remove_repeats
+from tidewatch.llm.token_align import align_tokens
 from tidewatch.llm.toxicity import score_toxicity
 from tidewatch.llm.urls import judge_urls
 
@@ -128,6 +131,25 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_periodic(spark: SparkSession, folder: str) -> DataFrame:
+    found = collapse_runs(table(spark, folder, "documents"), prepare=plant_runs)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[k].cast("string") for k in ("start", "length", "period"))), F.lit("\n")))
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_language(spark: SparkSession, folder: str) -> DataFrame:
+    return predict_language(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op13_align(spark: SparkSession, folder: str) -> DataFrame:
+    found = align_tokens(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), digest=True)
+    return found.withColumnRenamed("id", "doc_id").withColumnRenamed("groups", "groups_sha256")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embed_dedup": op1_embed_dedup,
@@ -140,6 +162,9 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring": op8_substring,
         "op9_mixing": op9_mixing,
         "op10_bpe": op10_bpe,
+        "op11_periodic": op11_periodic,
+        "op12_language": op12_language,
+        "op13_align": op13_align,
     }
 
 
