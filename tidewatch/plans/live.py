@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidewatch.plans.scores import score_flows
 from tidewatch.sources.flow_view import flows_of
 from tidewatch.sources.sinks import Fanout, parquet_log
-from tidewatch.streaming.alerting import AlertStream, flow_stream
+from tidewatch.streaming.alerting import flow_stream
+from tidewatch.streaming.keyed import KeyedAlertStream
 
 
 #: Arrivals of the events in time order; the stream is stopped and started again between them.
@@ -18,20 +19,21 @@ ARRIVALS = 2
 def replay_events(spark: SparkSession, folder: str, state: str, window_seconds: float, limit: int) -> DataFrame:
     """Let the events arrive in ``ARRIVALS`` parts, a run of the stream for each; returns the alerts its sink received.
 
-    Each run goes on from the checkpoint and the state that the one before left.
+    Each run goes on from the checkpoint and the keyed state that the one before left.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     events = spark.read.parquet(f"{folder}/events.parquet")
     low, high = events.agg(F.min("ts"), F.max("ts")).first()
     fanout = Fanout(spark, {"log": parquet_log(f"{state}/alerts")})
-    stream = AlertStream(spark, f"{state}/run", score_flows, fanout, window_seconds=window_seconds, limit=limit)
+    stream = KeyedAlertStream(spark, f"{state}/run", score_flows, fanout, window_seconds=window_seconds, limit=limit)
     for k in range(ARRIVALS if low is not None else 0):
         begin, end = (low + (high - low) * j / ARRIVALS for j in (k, k + 1))
         part = events.filter((F.col("ts") >= F.lit(str(begin)).cast("timestamp_ntz")) & (F.col("ts") < F.lit(str(end)).cast("timestamp_ntz") if k + 1 < ARRIVALS else F.lit(True)))
         part.write.mode("append").parquet(f"{state}/arrivals")
-        stream.start(flows_of(flow_stream(spark, f"{state}/arrivals", events.schema))).awaitTermination()
+        query = stream.start(flows_of(flow_stream(spark, f"{state}/arrivals", events.schema)))
+        query.awaitTermination()
+        if not any(p["numInputRows"] for p in query.recentProgress):
+            raise RuntimeError(f"arrival {k} was not read")
     if fanout.failures:
         raise RuntimeError(f"sinks failed: {fanout.failures}")
-    if low is not None and stream.latest() < ARRIVALS - 1:
-        raise RuntimeError(f"only batches up to {stream.latest()} ran")
     return spark.read.parquet(f"{state}/alerts")
