@@ -3,6 +3,8 @@
 One way at every size: mergeable sketches bracket each quantile, one aggregate counts what lies below each
 bracket, and only the few values inside the brackets leave their rows, equal ones as one. Ranking those
 gives the exact order statistics.
+
+Values travel in long form, a row per column and value, so the plan has the same size for one column and for a thousand.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.errors import FlowDataError
 from tidewatch.session import settle, small_side
 
 #: A sketch is off by one in so many ranks at most.
@@ -21,65 +24,51 @@ _REACH = [2.0 / _ACCURACY, 100.0 / _ACCURACY]
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None) -> DataFrame:
     """Rows ``(*by, column, prob, value)``; a column without values gives null. Rows with a null group are left out."""
     by = by or []
-    df = df.select(*by, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
+    if not columns or not probs:
+        raise FlowDataError("quantiles need columns and probabilities")
     for key in by:
         df = df.filter(F.col(key).isNotNull())
-    low = F.array(*[F.lit(max(0.0, p - reach)) for reach in _REACH for p in probs])
-    high = F.array(*[F.lit(min(1.0, p + reach)) for reach in _REACH for p in probs])
-    sketch = settle(df.groupBy(*by).agg(*[
-        F.struct(
-            F.count(f"_v{i}").alias("n"),
-            F.percentile_approx(f"_v{i}", low, _ACCURACY).alias("low"),
-            F.percentile_approx(f"_v{i}", high, _ACCURACY).alias("high"),
-        ).alias(f"_s{i}")
-        for i in range(len(columns))
-    ]))
-    endless = {"low": float("-inf"), "high": float("inf")}
+    long = df.select(*[F.col(key).alias(f"_by{i}") for i, key in enumerate(by)], F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("_c", "_v"))
+    group = [f"_by{i}" for i in range(len(by))] + ["_c"]
     size = len(probs)
-    sketch = sketch.select(*by, *[
-        F.struct(F.col(f"_s{i}").n.alias("n"), *[
-            F.array(*[
-                F.when(F.col(f"_s{i}").n >= 3 / _REACH[0], F.col(f"_s{i}")[side][k])
-                .when(F.col(f"_s{i}").n >= 3 / _REACH[1], F.col(f"_s{i}")[side][size + k]).otherwise(F.lit(endless[side]))
-                for k in range(size)
-            ]).alias(side) for side in ("low", "high")
-        ]).alias(f"_s{i}")
-        for i in range(len(columns))
-    ])
+    edges = [min(1.0, max(0.0, p + side * reach)) for side in (-1, 1) for reach in _REACH for p in probs]
+    sketch = long.groupBy(*group).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", F.array(*map(F.lit, edges)), _ACCURACY).alias("_e"))
+
+    def edge(k, side: int, endless: float):
+        near, far = (F.element_at("_e", k + 1 + (2 * side + step) * size) for step in (0, 1))
+        return F.when(F.col("_n") >= 3 / _REACH[0], near).when(F.col("_n") >= 3 / _REACH[1], far).otherwise(F.lit(endless))
+
+    # NaN is greater than all others.
+    cells = settle(sketch.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).select(
+        *group, "_n", "_k", edge(F.col("_k"), 0, float("-inf")).alias("_low"), edge(F.col("_k"), 1, float("nan")).alias("_high")
+    ))
+    ranges = cells.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_k", "_low", "_high"))).alias("_ranges"))
+    met = long.filter(F.col("_v").isNotNull()).join(small_side(ranges), group).select(*group, "_v", F.explode("_ranges").alias("_r"))
+    # What is below a bracket becomes one row per cell, what is above it none.
+    inside = met.filter(F.col("_v") <= F.col("_r._high")).groupBy(
+        *group, F.col("_r._k").alias("_k"), F.when(F.col("_v") >= F.col("_r._low"), F.col("_v")).alias("_v")
+    ).agg(F.count(F.lit(1)).alias("_m"))
+    upto = F.sum("_m").over(Window.partitionBy(*group, "_k").orderBy(F.col("_v").asc_nulls_first()))
+    placed = inside.withColumn("_last", upto).withColumn("_first", F.col("_last") - F.col("_m")).filter(F.col("_v").isNotNull())
+    place = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_k") + 1) * (F.col("_n") - 1)
+    joined = placed.join(cells.select(*group, "_k", "_n"), [*group, "_k"]).withColumn("_at", place)
+    at_rank = lambda rank: F.max(F.when((F.col("_first") <= rank) & (F.col("_last") > rank), F.col("_v")))
+    found = joined.groupBy(*group, "_k").agg(at_rank(F.floor("_at")).alias("_a"), at_rank(F.ceil("_at")).alias("_b"))
     if by:
-        placed = df.join(small_side(sketch), by)
-        edge = {(i, side): F.col(f"_s{i}")[side] for i in range(len(columns)) for side in ("low", "high")}
+        base = cells.select(*group, "_n", "_k")
     else:
-        # One row: the brackets become literals.
-        row = sketch.first()
-        placed = df
-        edge = {
-            (i, side): F.array(*[F.lit(None if row is None or row[f"_s{i}"][side] is None else row[f"_s{i}"][side][k]).cast("double") for k in range(len(probs))])
-            for i in range(len(columns)) for side in ("low", "high")
-        }
-    cells = [(i, k) for i in range(len(columns)) for k in range(len(probs))]
-    below = placed.groupBy(*by).agg(F.array(*[F.count_if(F.col(f"_v{i}") < edge[i, "low"][k]) for i, k in cells]).alias("_below"))
-    inside = placed.select(*by, F.explode(F.filter(
-        F.array(*[F.when((F.col(f"_v{i}") >= edge[i, "low"][k]) & (F.col(f"_v{i}") <= edge[i, "high"][k]), F.struct(F.lit(at).alias("cell"), F.col(f"_v{i}").alias("v"))) for at, (i, k) in enumerate(cells)]),
-        lambda x: x.isNotNull(),
-    )).alias("_x")).select(*by, "_x.*")
-    counted = inside.groupBy(*by, "cell", "v").agg(F.count(F.lit(1)).alias("c"))
-    facts = sketch.join(small_side(below), by) if by else sketch.withColumn("_below", F.array(*[F.lit(x) for x in below.first()[0]]))
-    facts = facts.select(*by, F.posexplode(F.array(*[
-        F.struct(F.lit(columns[i]).alias("column"), F.lit(float(probs[k])).alias("prob"), F.col(f"_s{i}").n.alias("n"), F.col("_below")[at].alias("below"))
-        for at, (i, k) in enumerate(cells)
-    ])).alias("cell", "_f")).select(*by, "cell", "_f.*")
-    upto = F.sum("c").over(Window.partitionBy(*by, "cell").orderBy("v"))
-    joined = counted.withColumn("upto", upto).join(facts, [*by, "cell"])
-    place = F.col("prob") * (F.col("n") - 1)
-    last, first = F.col("below") + F.col("upto"), F.col("below") + F.col("upto") - F.col("c")
-    at_rank = lambda rank: F.max(F.when((first <= rank) & (last > rank), F.col("v")))
-    found = joined.groupBy(*by, "cell").agg(at_rank(F.floor(place)).alias("a"), at_rank(F.ceil(place)).alias("b"))
+        # An empty table has no cells and yet every column has a row.
+        every = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("_c")).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+        base = every.join(cells.select("_c", "_k", "_n"), ["_c", "_k"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     share = place - F.floor(place)
-    value = F.when(F.col("n") == 0, F.lit(None)).when(
-        F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit("a quantile lies outside its bracket"))
-    ).when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.lit(1.0) - share) * F.col("a") + share * F.col("b"))
-    return facts.join(found, [*by, "cell"], "left").select(*by, "column", "prob", value.alias("value"))
+    value = F.when(F.col("_n") == 0, F.lit(None)).when(
+        F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("a quantile lies outside its bracket"))
+    ).when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise((F.lit(1.0) - share) * F.col("_a") + share * F.col("_b"))
+    return base.join(found, [*group, "_k"], "left").select(
+        *[F.col(f"_by{i}").alias(key) for i, key in enumerate(by)],
+        F.element_at(F.array(*map(F.lit, columns)), F.col("_c") + 1).alias("column"),
+        F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_k") + 1).alias("prob"), value.alias("value"),
+    )
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
