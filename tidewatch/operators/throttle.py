@@ -15,6 +15,8 @@ on its own output, so it is a fold along time, not a window function. What keeps
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.errors import FlowDataError, check_positive
 from tidewatch.operators.ordering import row_index, running_sums
-from tidewatch.session import settle, small_side
+from tidewatch.session import checkpoint_folder, settle, small_side
 
 THROTTLE_SECONDS = 60
 THROTTLE_LIMIT = 5
@@ -75,8 +77,11 @@ def _tick(tick_us: int):
     return (F.col("ts_us") if tick_us == 1 else F.col("ts_us") - F.pmod(F.col("ts_us"), F.lit(tick_us))).cast("bigint")
 
 
-def _segments(readings: DataFrame, window_us: int, segment_rows: int) -> tuple[DataFrame, int]:
-    """Readings with ``(piece, turn)``: pieces are independent, a piece's turns are not. And the turn count."""
+def _segments(readings: DataFrame, window_us: int, segment_rows: int) -> list[DataFrame]:
+    """Readings with ``piece`` by turn: pieces are independent, a piece's turns are not.
+
+    Each turn is a folder of its own, so a round reads its own rows and no others.
+    """
     spread = row_index(readings, ["throttle_key", "tick"], "_at")
     cut = settle(spread.withColumn("_segment", F.floor(F.col("_at") / segment_rows).cast("bigint")).drop("_at"))
     # One row per (key, segment): rows / segment_rows plus the number of keys.
@@ -88,10 +93,15 @@ def _segments(readings: DataFrame, window_us: int, segment_rows: int) -> tuple[D
     ).withColumn(
         "turn", F.row_number().over(Window.partitionBy("throttle_key", "piece").orderBy("_segment")) - 1
     ).select("throttle_key", "_segment", "piece", "turn")
-    placed = settle(cut.join(small_side(chained), ["throttle_key", "_segment"]).drop("_segment"))
-    last = placed.agg(F.max("turn")).first()[0]
-    turns = 1 if last is None else last + 1
-    return placed, turns
+    placed = cut.join(small_side(chained), ["throttle_key", "_segment"]).drop("_segment")
+    spark = readings.sparkSession
+    path = f"{checkpoint_folder(spark)}/turns-{uuid.uuid4().hex}"
+    placed.write.partitionBy("turn").parquet(path)
+    schema = placed.drop("turn").schema
+    last = chained.agg(F.max("turn")).first()[0]
+    if last is None:
+        return [spark.createDataFrame([], schema)]
+    return [spark.read.schema(schema).parquet(f"{path}/turn={turn}") for turn in range(last + 1)]
 
 
 def _folder(window_us: int, limit: int):
@@ -125,13 +135,12 @@ def allowed_ticks(
         readings = settle(readings.join(last, "throttle_key", "left").groupBy(
             "throttle_key", F.greatest("tick", F.coalesce("_last", "tick")).alias("tick")
         ).agg(F.sum("n").alias("n")))
-    placed, turns = _segments(readings, window_us, segment_rows)
+    turns = _segments(readings, window_us, segment_rows)
     logs = spark.createDataFrame([], "throttle_key string, piece bigint, log array<bigint>")
     if state is not None:
         logs = state.select("throttle_key", F.lit(0).cast("bigint").alias("piece"), "log")
     done = []
-    for turn in range(turns):
-        part = placed if turns == 1 else placed.filter(F.col("turn") == turn)
+    for part in turns:
         folded = part.groupBy("throttle_key", "piece").cogroup(logs.groupBy("throttle_key", "piece")).applyInPandas(
             _folder(window_us, limit), _FOLD_SCHEMA
         )
