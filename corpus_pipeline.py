@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import mixing, pii, quality_llr, shingle_copies
+from tidewatch.llm import mixing, pii, quality_llr, simhash_ball
 from tidewatch.llm.bpe import encode_decode
 from tidewatch.llm.common import table
 from tidewatch.llm.queries import vocabulary
@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8), the one with the smallest id."""
-    return shingle_copies.keep_one(docs)
+    """One document of each group of near copies (SimHash of three-word shingles within two bits), the one with the smallest id."""
+    return simhash_ball.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
