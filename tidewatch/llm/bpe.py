@@ -11,10 +11,13 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from itertools import chain, islice
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -38,8 +41,8 @@ LATER = [
 STAND_IN = "\u2603"
 #: A space and a further white space: texts without these can be cut before every space.
 WIDE = [" " + c for c in "\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"] + [f" {chr(c)}" for c in range(0x2000, 0x200B)]
-#: Bounds of what a worker remembers: pieces (and as many words), their length, and token pairs.
-PIECES_KEPT, PIECE_CHARS, PAIRS_KEPT = 400_000, 48, 1_000_000
+#: Bounds of what a worker remembers: words (as packed ids), pieces, the length of both, and token pairs.
+WORDS_KEPT, PIECES_KEPT, PIECE_CHARS, PAIRS_KEPT = 800_000, 400_000, 48, 1_000_000
 #: Pieces that a text is cut into at a time.
 CHUNK = 100_000
 
@@ -79,7 +82,7 @@ class Codec:
             if self._builds(i):
                 self.ends.add_word(self.token_bytes[i].decode("latin-1"), (i, len(self.token_bytes[i])))
         self.ends.make_automaton()
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
 
@@ -154,39 +157,46 @@ class Codec:
                 found = [self.piece(p) if ids is None else ids for p, ids in zip(part, found)]
             out.extend(chain.from_iterable(found))
 
-    def _word(self, text: str) -> tuple[int, ...]:
-        """Ids of a space and what follows it up to the next space."""
+    def _word(self, text: str) -> bytes:
+        """Packed ids of a space and what follows it up to the next space."""
         ids: list[int] = []
         self._pieces(" " + text, ids)
-        found = tuple(ids)
+        found = pack(ids)
         if len(text) <= PIECE_CHARS:
-            if len(self.words) >= PIECES_KEPT:
+            if len(self.words) >= WORDS_KEPT:
                 self.words.clear()
             self.words[text] = found
         return found
 
-    def _ordinary(self, text: str, out: list[int]) -> None:
+    def _ordinary(self, text: str, out: list[bytes]) -> None:
+        ids: list[int] = []
         if len(text) > 20 * CHUNK or text.endswith(" ") or any(w in text for w in WIDE):
-            self._pieces(text, out)
+            self._pieces(text, ids)
+            out.append(pack(ids))
             return
         first, *rest = text.split(" ")
-        self._pieces(first, out)
+        self._pieces(first, ids)
+        out.append(pack(ids))
         found = list(map(self.words.get, rest))
         if None in found:
             found = [self._word(w) if ids is None else ids for w, ids in zip(rest, found)]
-        out.extend(chain.from_iterable(found))
+        out += found
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text; the strings of added tokens in it are those tokens."""
-        out: list[int] = []
+    def packed(self, text: str) -> bytes:
+        """Ids of a whole text as little-endian unsigned 32-bit integers; the strings of added tokens in it are those tokens."""
+        out: list[bytes] = []
         at = 0
         if self.cut_special is not None:
             for m in self.cut_special.finditer(text):
                 self._ordinary(text[at : m.start()], out)
-                out.append(self.special[m.group()])
+                out.append(pack([self.special[m.group()]]))
                 at = m.end()
         self._ordinary(text[at:] if at else text, out)
-        return out
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a whole text."""
+        return unpack(self.packed(text))
 
     def decode(self, ids) -> str:
         """Text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -205,9 +215,14 @@ def codec(path: str) -> Codec:
 
 def pack(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
-    import numpy as np
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
 
-    return np.array(ids, "<u4").tobytes()
+def unpack(packed: bytes) -> list[int]:
+    return np.frombuffer(packed, "<u4").tolist()
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,9 +240,9 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 part = batch.slice(low, 500)
                 counts, packed, texts = [], [], []
                 for value in part.column(1):
-                    ids = own.encode(value.as_py() or "")
+                    packed.append(own.packed(value.as_py() or ""))
+                    ids = unpack(packed[-1])
                     counts.append(len(ids))
-                    packed.append(pack(ids))
                     texts.append(own.decode(ids))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(counts, pa.int64()), pa.array(packed, pa.binary()), pa.array(texts, pa.string())],
