@@ -21,18 +21,18 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import bit_filter, passes, runs, written
+from tidewatch.llm.common import bit_filter, forget, passes, runs, written
 
 WINDOW, GRAM = 50, 6
 #: Word groups with at least one in so many of all occurrences rank last: at most that many, whatever the corpus' size.
 FREQUENT_ONE_IN = 1 << 16
 #: Windows cut at a time from a long text (their places fit PLACE_BITS), packed strings put together before they are handed on, words remembered.
 WINDOWS_AT_ONCE, PLACE_BITS, STRINGS_AT_ONCE, WORDS_KEPT = 1 << 18, 20, 20_000, 200_000
-#: Bits of the filters of repeated minimisers and of strings with a repeat.
-MINIMISER_BITS, STRING_BITS = 25, 22
+#: Bits of the filter of repeated minimisers.
+MINIMISER_BITS = 25
 MULTIPLIERS = [np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) for k in range(1, 65)]
 
 
@@ -123,9 +123,18 @@ def _frequent(texts: DataFrame, window: int, gram: int) -> np.ndarray:
         most = counts >= total // (2 * FREQUENT_ONE_IN)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(kept[most].view(np.int64), 0)), pa.array(np.append(counts[most], 0)), pa.array([0] * int(most.sum()) + [total], pa.int64())], ["h", "n", "total"])
 
-    found = texts.select("raw").mapInArrow(work, "h long, n long, total long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    found = found.withColumn("all", F.sum("total").over(Window.partitionBy(F.lit(1)))).where(F.col("n") * FREQUENT_ONE_IN >= F.col("all")).where("n > 1")
-    return np.sort(np.array([r.h for r in found.select("h").collect()], np.int64).view(np.uint64))
+    found = written(texts.select("raw").mapInArrow(work, "h long, n long, total long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+    total = found.agg(F.sum("total")).first()[0] or 0
+    often = found.where((F.col("n") * FREQUENT_ONE_IN >= total) & (F.col("n") > 1))
+    found_often = np.sort(np.array([r.h for r in often.select("h").collect()], np.int64).view(np.uint64))
+    forget(found)
+    return found_often
+
+
+#: What ``pack`` hands on: a string (first four) or a place (last four).
+_PACKED = {
+    "bucket": pa.int64(), "text": pa.binary(), "first": pa.int64(), "most": pa.int64(), "digest": pa.binary(), "id": pa.int64(), "hash": pa.int64(), "at": pa.int64(),
+}
 
 
 def _digest(text: bytes) -> bytes:
@@ -175,24 +184,39 @@ def repeated_windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
                     yield bucket, flat[a:b], first
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Strings for the buckets, equal ones of a task as one, and beside them where each stands in which text."""
         seen: dict[tuple[int, bytes], tuple[int, int]] = {}
+        digests: list[bytes] = []
+        ids: list[int] = []
+        hashes: list[int] = []
+        at: list[int] = []
 
-        def out() -> pa.RecordBatch:
-            keys, ids = list(zip(*seen)), list(zip(*seen.values()))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.binary()), pa.array(ids[0], pa.int64()), pa.array(ids[1], pa.int64())], ["bucket", "text", "first", "most"]
-            )
+        def out(columns: list, names: list[str]) -> pa.RecordBatch:
+            own = dict(zip(names, columns))
+            return pa.RecordBatch.from_arrays([pa.array(own[n], t) if n in own else pa.nulls(len(columns[0]), t) for n, t in _PACKED.items()], list(_PACKED))
+
+        def strings() -> pa.RecordBatch:
+            return out([*zip(*seen), *zip(*seen.values())], ["bucket", "text", "first", "most"])
 
         for batch in batches:
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for bucket, text, _ in pieces((value.as_py() or b"").split()):
+            for doc, value, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                for bucket, text, first in pieces((value.as_py() or b"").split()):
                     low, high = seen.get((bucket, text), (doc, doc))
                     seen[bucket, text] = min(low, doc), max(high, doc)
+                    digests.append(_digest(text))
+                    ids.append(doc)
+                    hashes.append(own)
+                    at.append(first)
                     if len(seen) >= STRINGS_AT_ONCE:
-                        yield out()
+                        yield strings()
                         seen = {}
+                    if len(at) >= STRINGS_AT_ONCE:
+                        yield out([digests, ids, hashes, at], ["digest", "id", "hash", "at"])
+                        digests, ids, hashes, at = [], [], [], []
         if seen:
-            yield out()
+            yield strings()
+        if at:
+            yield out([digests, ids, hashes, at], ["digest", "id", "hash", "at"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in runs(batches, ["bucket"]):
@@ -209,28 +233,13 @@ def repeated_windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 digests, least = zip(*found[low : low + STRINGS_AT_ONCE])
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(least, pa.list_(pa.int64()))], ["digest", "least"])
 
-    strings = texts.mapInArrow(pack, "bucket long, text binary, first long, most long")
+    packed = written(texts.mapInArrow(pack, "bucket long, text binary, first long, most long, digest binary, id long, hash long, at long"))
     # Equal strings of a task are already one row; dealt by bucket, the rest meet without a second shuffle.
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    strings = strings.repartition(parts, "bucket").groupBy("bucket", "text").agg(F.min("first").alias("first"), F.max("most").alias("most"))
+    strings = packed.where("text is not null").repartition(parts, "bucket").groupBy("bucket", "text").agg(F.min("first").alias("first"), F.max("most").alias("most"))
     least = written(strings.sortWithinPartitions("bucket").mapInArrow(count, "digest binary, least array<long>"))
-    repeats = bit_filter(least.select(F.xxhash64("digest").alias("h")), STRING_BITS)
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests, ids, hashes, at = [], [], [], []
-            for doc, value, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                for _, text, first in pieces((value.as_py() or b"").split()):
-                    digests.append(_digest(text))
-                    ids.append(doc)
-                    hashes.append(own)
-                    at.append(first)
-            keep = passes(repeats, np.fromiter((xxhash.xxh64_intdigest(d, 42) for d in digests), np.uint64, len(digests)), STRING_BITS)
-            out = pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(at, pa.int64())], ["digest", "id", "hash", "at"])
-            yield out.filter(pa.array(keep))
-
-    found = texts.mapInArrow(places, "digest binary, id long, hash long, at long")
-    hits = found.join(least, "digest").where(F.exists("least", lambda x: x < F.col("id")))
+    places = packed.where("digest is not null").select("digest", "id", "hash", "at")
+    hits = places.join(least, "digest").where(F.exists("least", lambda x: x < F.col("id")))
     return hits.groupBy("id", "hash").agg(F.collect_list(F.struct("at", "least")).alias("marks"))
 
 
