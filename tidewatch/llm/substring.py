@@ -29,26 +29,16 @@ from tidewatch.llm.common import bit_filter, forget, passes, runs, written
 WINDOW, GRAM = 50, 6
 #: Word groups with at least one in so many of all occurrences rank last: at most that many, whatever the corpus' size.
 FREQUENT_ONE_IN = 1 << 16
-#: Windows cut at a time from a long text (their places fit PLACE_BITS), packed strings put together before they are handed on, words remembered.
-WINDOWS_AT_ONCE, PLACE_BITS, STRINGS_AT_ONCE, WORDS_KEPT = 1 << 18, 20, 20_000, 200_000
+#: Windows cut at a time from a long text (their places fit PLACE_BITS), packed strings put together before they are handed on.
+WINDOWS_AT_ONCE, PLACE_BITS, STRINGS_AT_ONCE = 1 << 18, 20, 20_000
 #: Bits of the filter of repeated minimisers.
 MINIMISER_BITS = 25
 MULTIPLIERS = [np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) for k in range(1, 65)]
 
 
-_hashes: dict[bytes, int] = {}
-
-
 def group_hashes(words: list[bytes], gram: int) -> np.ndarray:
     """A hash per group of ``gram`` consecutive words."""
-    found = list(map(_hashes.get, words))
-    if None in found:
-        if len(_hashes) >= WORDS_KEPT:
-            _hashes.clear()
-        for k, h in enumerate(found):
-            if h is None:
-                found[k] = _hashes[words[k]] = xxhash.xxh3_64_intdigest(words[k])
-    own = np.array(found, np.uint64)
+    own = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
     n = len(words) - gram + 1
     mixed = np.zeros(n, np.uint64)
     for k in range(gram):
