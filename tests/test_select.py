@@ -1,11 +1,14 @@
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.errors import FlowDataError
 from tidewatch.operators import profile as pr
 from tidewatch.operators import select as se
+from tidewatch.operators.gram import pearson
 from tidewatch.sources.tables import read_selection, write_selection
 
 
@@ -30,6 +33,36 @@ def test_correlation_handles_constants_and_gaps(table):
     assert scores == {"flat": 0.0, "cls": pytest.approx(1.0)}
 
 
+def test_correlation_over_shared_rows(spark):
+    rng = np.random.default_rng(11)
+    n = 2000
+    pdf = pd.DataFrame({"a": rng.normal(1e6, 1, n), "b": rng.integers(0, 4, n).astype(float), "c": rng.normal(0, 1e-3, n), "d": 7.25})
+    pdf["e"] = pdf["a"] * 3 + pdf["c"] * 500
+    pdf.loc[rng.random(n) < 0.4, "a"] = np.nan
+    pdf.loc[rng.random(n) < 0.3, "c"] = np.nan
+    pdf.loc[:, "f"] = np.where(pdf["a"].isna(), pdf["b"], 2.0)  # varies, but not where a is known
+    pdf["none"] = np.nan
+    rows = [tuple(None if v != v else float(v) for v in r) for r in pdf.itertuples(index=False)]
+    names = list(pdf.columns)
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(7)
+    got = {(r["column_i"], r["column_j"]): (r["n"], r["r"]) for r in pearson(df, names).collect()}
+    assert len(got) == len(names) * (len(names) - 1) // 2
+    for (x, y), (count, r) in got.items():
+        both = pdf[[x, y]].dropna()
+        assert count == len(both)
+        flat = both[x].nunique() < 2 or both[y].nunique() < 2
+        assert r is None if flat else r == pytest.approx(both[x].corr(both[y]), abs=1e-9), (x, y)
+    assert got["a", "f"][1] is None and got["a", "none"] == (0, None)
+
+
+def test_correlation_of_little(spark):
+    empty = spark.createDataFrame([], "a double, b int, c double")
+    assert [(r["n"], r["r"]) for r in pearson(empty, ["a", "b", "c"]).collect()] == [(0, None)] * 3
+    assert pearson(empty, ["a"]).count() == 0
+    odd = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (float("nan"), 1.0), (3.0, float("inf")), (4.0, 8.0)], "a double, b double")
+    assert [(r["n"], r["r"]) for r in pearson(odd, ["a", "b"]).collect()] == [(3, pytest.approx(1.0))]
+
+
 def test_mutual_information_of_a_copy_is_the_entropy(table):
     scores = {r["feature"]: r["score"] for r in se.mutual_information(table, ["cls", "flat"], "y").collect()}
     assert scores["cls"] == pytest.approx(math.log(3), abs=1e-9) and scores["flat"] == pytest.approx(0.0, abs=1e-12)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.numbers import numeric_columns
+from tidewatch.operators.gram import pearson
 from tidewatch.operators.quantiles import exact_quantiles
 
 
@@ -103,44 +101,9 @@ def guarded_corr(a: str, b: str):
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def correlation_matrix(df: DataFrame, columns: list[str] | None = None, pairs_per_pass: int = 150) -> DataFrame:
-    """``(i, j, column_i, column_j, r)`` for i < j; null r where a column does not vary.
-
-    Columns without nulls go through one Gram pass of MLlib. Pairs that touch a column with nulls are
-    taken over the rows where both sides are known.
-    """
-    spark = df.sparkSession
-    columns = columns or numeric_columns(df)
-    schema = "i int, j int, column_i string, column_j string, r double"
-    if len(columns) < 2:
-        return spark.createDataFrame([], schema)
-    facts = df.agg(
-        *[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[(F.min(c) == F.max(c)).alias(f"c{i}") for i, c in enumerate(columns)],
-    ).first()
-    place = {c: i for i, c in enumerate(columns)}
-    full = [c for c in columns if facts[f"n{place[c]}"] == 0 and facts[f"c{place[c]}"] is False]
-    found: dict[tuple[int, int], float] = {}
-    if len(full) > 1:
-        doubles = df.select(*[F.col(c).cast("double").alias(c) for c in full])
-        vectors = VectorAssembler(inputCols=full, outputCol="_v").transform(doubles).select("_v")
-        gram = Correlation.corr(vectors, "_v").head()[0].toArray()
-        for x, y in combinations(range(len(full)), 2):
-            found[place[full[x]], place[full[y]]] = float(gram[x, y])
-    partial = set(columns) - set(full)
-    rest = [
-        (i, j) for i, j in combinations(range(len(columns)), 2)
-        if (columns[i] in partial or columns[j] in partial)
-        and facts[f"c{i}"] is False and facts[f"c{j}"] is False
-    ]
-    for at in range(0, len(rest), pairs_per_pass):
-        part = rest[at: at + pairs_per_pass]
-        row = df.agg(*[guarded_corr(columns[i], columns[j]).alias(f"r{n}") for n, (i, j) in enumerate(part)]).first()
-        found.update({pair: row[n] for n, pair in enumerate(part)})
-    rows = [
-        (i, j, columns[i], columns[j], found.get((i, j))) for i, j in combinations(range(len(columns)), 2)
-    ]
-    return spark.createDataFrame(rows, schema)
+def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``(i, j, column_i, column_j, r)`` for i < j, each over the rows where both are known; null r where a side does not vary."""
+    return pearson(df, columns or numeric_columns(df)).drop("n")
 
 
 def pca_projection(df: DataFrame, features: list[str], keep: list[str], k: int = 2, seed: int = 42) -> tuple[DataFrame, list[float]]:

@@ -137,6 +137,15 @@ def _pairs(columns, table):
     return " UNION ALL ".join(parts)
 
 
+def _all_pairs(columns, table):
+    """Every pair in one read of the table: one struct a pair, made rows afterwards."""
+    pairs = [
+        f"{{'column_i': '{a}', 'column_j': '{b}', 'r': round({_corr(a, b)}, 6)}}"
+        for i, a in enumerate(columns) for b in columns[i + 1:]
+    ]
+    return f"SELECT unnest(pairs, recursive := true) FROM (SELECT [{', '.join(pairs)}] AS pairs FROM {table})"
+
+
 _INDEX = "CASE label " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(CLASSES)) + " END"
 _SCORES_CORR = " UNION ALL ".join(f"SELECT '{c}' AS feature, abs({_corr(c, 'y')}) AS score FROM ix" for c in RANKED)
 INDEXED = f"{ENG}, ix AS (SELECT *, cast({_INDEX} AS double) AS y FROM eng)"
@@ -254,7 +263,6 @@ _VARIED = [c for c in COARSE if c not in ("urgent", "num_outbound_cmds")]
 
 
 def all_oracles() -> dict[str, str]:
-    corr9 = ["duration", "src_bytes", "count", "srv_count", "serror_rate", "srv_serror_rate", "wrong_fragment", "num_failed_logins", "urgent"]
     later = []
     for j, b in enumerate(RANKED):
         tests = [f"abs({_corr(a, b)}) > 0.9" for a in RANKED[:j]]
@@ -302,6 +310,7 @@ def all_oracles() -> dict[str, str]:
         "sample_per_class": f"WITH {FLOWS} SELECT flow_id, label FROM flows QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_hash()}) <= 25",
         "sample_class_mix": f"WITH {FLOWS} SELECT flow_id, label FROM flows QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_hash()}) <= CASE label "
                             + " ".join(f"WHEN '{k}' THEN {q}" for k, q in _MIX.items()) + " ELSE 0 END",
+        "shuffle_flows": f"WITH {FLOWS} SELECT flow_id, label, row_number() OVER (ORDER BY {_hash()}) - 1 AS place FROM flows",
         "kfold_assign": f"WITH {FLOWS} SELECT flow_id, label, (row_number() OVER (PARTITION BY label ORDER BY {_hash()}) - 1) % 5 AS fold FROM flows",
         "csv_round_trip": f"WITH {FLOWS} SELECT flow_id, service, src_bytes, label FROM flows",
         "parquet_built_once": f"WITH {FLOWS} SELECT flow_id, flag, dst_bytes, label FROM flows",
@@ -320,7 +329,7 @@ def all_oracles() -> dict[str, str]:
                             "SELECT flow_id + 1000000000, ts_us, duration, protocol_type, service, flag, src_bytes, dst_bytes, count, label FROM flows WHERE flow_id % 3 = 0) GROUP BY ALL",
         "weight_shares": f"WITH {FLOWS} SELECT class, round((SELECT count(*) FROM flows WHERE label = class) / cast((SELECT count(*) FROM flows) AS double), 6) AS share "
                          "FROM (SELECT unnest([" + ", ".join(f"'{c}'" for c in [*CLASS_MIX, "worm"]) + "]) AS class)",
-        "correlation_pairs": f"WITH {FLOWS} " + _pairs(corr9, "flows"),
+        "correlation_pairs": f"WITH {FLOWS} " + _all_pairs(NUMERIC, "flows"),
         "correlation_lineitem": _pairs(LINE_NUMBERS, "lineitem"),
         "drop_correlated": f"WITH {INDEXED} SELECT feature FROM ({gone}) WHERE NOT gone",
         "corr_score": f"WITH {INDEXED} SELECT feature, round(score, 6) AS score FROM ({_SCORES_CORR})",

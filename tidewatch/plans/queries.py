@@ -21,6 +21,7 @@ from tidewatch.operators import sampling as sa
 from tidewatch.operators import select as se
 from tidewatch.operators import throttle as th
 from tidewatch.operators.quantiles import exact_quantiles
+from tidewatch.operators.shuffle import shuffled
 from tidewatch.plans.scores import CLASSES, score_flows
 from tidewatch.sources.flow_view import flows, raw_flows
 from tidewatch.streaming import rolling as ro
@@ -261,6 +262,10 @@ def sample_class_mix(spark, d):
 _FACTS = ["ts_us", "duration", "protocol_type", "service", "flag", "src_bytes", "dst_bytes", "count"]
 
 
+def shuffle_flows(spark, d):
+    return shuffled(flows(spark, d), "flow_id").select("flow_id", "label", "place")
+
+
 def kfold_assign(spark, d):
     return big(sa.assign_folds(flows(spark, d), "flow_id", 5).select("flow_id", "label", "fold"), "fold")
 
@@ -291,7 +296,7 @@ def weight_shares(spark, d):
 
 
 def correlation_pairs(spark, d):
-    out = pr.correlation_matrix(flows(spark, d), ["duration", "src_bytes", "count", "srv_count", "serror_rate", "srv_serror_rate", "wrong_fragment", "num_failed_logins", "urgent"])
+    out = pr.correlation_matrix(flows(spark, d), NUMERIC)
     return out.select("column_i", "column_j", r6(F.coalesce("r", F.lit(0.0))).alias("r"))
 
 
@@ -657,7 +662,7 @@ NAMES = [
     "constant_columns", "nonfinite_to_null", "numeric_coercion", "record_violations", "flow_contract_violations",
     "quarantine_counts", "binary_labels", "byte_cap", "unknown_labels", "medians", "modes", "category_levels",
     "impute_median", "one_hot", "standard_scale", "minmax_scale", "encoded_matrix", "label_encode", "stratified_split",
-    "split_sizes", "sample_random", "sample_per_class", "sample_class_mix", "kfold_assign", "kfold_null_labels",
+    "split_sizes", "sample_random", "sample_per_class", "sample_class_mix", "shuffle_flows", "kfold_assign", "kfold_null_labels",
     "train_clean_rows", "weight_shares",
     "correlation_pairs", "correlation_lineitem", "drop_correlated", "corr_score", "mutual_info_binned", "topk_features",
     "select_features", "confusion_matrix", "confusion_normalised", "headline_metrics", "per_class_report", "auc_ovr",
