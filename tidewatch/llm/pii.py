@@ -149,11 +149,18 @@ def wanted_terms(packed: np.ndarray) -> Callable[[str], str | None]:
 def disclosing_terms(found: DataFrame, docs: DataFrame, disclosed: float = DISCLOSED) -> DataFrame:
     """Pairs ``term``, ``entity`` at or above the threshold. ``found``: rows with ``spans``, ``entities`` and ``terms``; ``docs``: all texts (``text``), for the counts."""
     sure = 1 - F.pow(F.lit(CHANCE), F.col("n_both"))
+    n = docs.count()
+    own = F.log(n / F.col("n_entity"))
+    # 0 where all documents show the entity: then a term tells nothing.
+    share = lambda n_term: F.when(own > 0, sure * F.log(n * F.col("n_both") / (F.col(n_term) * F.col("n_entity"))) / own).otherwise(0.0)
     pairs = found.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term"))
     # The quotient is 1 at most: pairs whose factor is below the threshold cannot reach it, whatever the other counts.
     together = pairs.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_both")).where(sure >= disclosed)
     entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    together = written(together)
+    # A term stands in at least the documents with entities that show it: pairs that this count puts below the threshold
+    # stay below it with all documents counted, so only the others are looked for in all texts.
+    least = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_least"))
+    together = written(together.join(least, "term").join(entities, "entity").where(share("n_least") >= disclosed).drop("n_least"))
     # The filter has a fixed size whatever the number of candidates; what passes it by chance falls out of the join.
     packed = bit_filter(together.select(F.xxhash64("term").alias("h")), FILTER_BITS)
 
@@ -176,11 +183,7 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, disclosed: float = DISCL
             yield out()
 
     counts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(seen, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    n = docs.count()
-    scored = together.join(counts, "term").join(entities, "entity")
-    own = F.log(n / F.col("n_entity"))
-    share = F.when(own > 0, sure * F.log(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / own).otherwise(0.0)
-    return scored.select("term", "entity", share.alias("disclosure")).where(F.col("disclosure") >= disclosed)
+    return together.join(counts, "term").select("term", "entity", share("n_term").alias("disclosure")).where(F.col("disclosure") >= disclosed)
 
 
 def term_places(docs: DataFrame, terms: DataFrame) -> DataFrame:
