@@ -8,8 +8,8 @@ from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.ordering import running_sums
-from tidewatch.session import listed_side, small_side
+from tidewatch.operators.score_cells import CELL_ROWS, auc_table, roc_table, score_cells
+from tidewatch.session import listed_side
 
 
 def pair_counts(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -80,24 +80,9 @@ def class_report(df: DataFrame, truth: str, predicted: str, classes: list) -> Da
     return scores.unionByName(macro).unionByName(weighted)
 
 
-def _score_groups(df: DataFrame, truth: str, scores: dict[str, Column]) -> DataFrame:
-    """``(class, score, pos, neg)``: rows with equal scores meet on the map side first."""
-    entries = [
-        F.struct(F.lit(name).alias("class"), value.alias("score"), (F.col(truth) == name).cast("bigint").alias("hit"))
-        for name, value in scores.items()
-    ]
-    return df.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*").groupBy("class", "score").agg(
-        F.sum("hit").alias("pos"), F.sum(F.lit(1) - F.col("hit")).alias("neg")
-    )
-
-
-def auc_per_class(df: DataFrame, truth: str, scores: dict[str, Column]) -> DataFrame:
+def auc_per_class(df: DataFrame, truth: str, scores: dict[str, Column], cell_rows: int = CELL_ROWS) -> DataFrame:
     """``(class, auc)`` one against the rest; tied scores count half; null where a side is empty."""
-    ranked = running_sums(_score_groups(df, truth, scores), ["class"], ["score"], {"_neg": F.col("neg")})
-    wins = F.col("pos").cast("double") * (F.col("_neg") - F.col("neg") / 2.0)
-    return ranked.groupBy("class").agg(
-        F.try_divide(F.sum(wins), F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc")
-    )
+    return auc_table(score_cells(df, truth, scores, cell_rows))
 
 
 def auc_roc(df: DataFrame, truth: str, scores: dict[str, Column], classes: list[str]) -> DataFrame:
@@ -107,20 +92,12 @@ def auc_roc(df: DataFrame, truth: str, scores: dict[str, Column], classes: list[
     return per.agg(F.when(usable, F.avg("auc")).otherwise(F.lit(float("nan"))).alias("auc_roc"))
 
 
-def roc_points(df: DataFrame, truth: str, scores: dict[str, Column]) -> DataFrame:
-    """``(class, threshold, fpr, tpr)`` by falling threshold, from (0, 0); classes without positives are left out."""
-    groups = _score_groups(df, truth, scores)
-    ranked = running_sums(groups, ["class"], ["score"], {"_pos": F.col("pos"), "_neg": F.col("neg")})
-    # Few rows: one per class.
-    totals = small_side(groups.groupBy("class").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n")).filter("_p > 0"))
-    at_least = lambda total, upto, own: F.col(total) - F.col(upto) + F.col(own)
-    points = ranked.join(totals, "class").select(
-        "class", F.col("score").alias("threshold"),
-        safe_ratio(at_least("_n", "_neg", "neg"), F.col("_n")).alias("fpr"),
-        safe_ratio(at_least("_p", "_pos", "pos"), F.col("_p")).alias("tpr"),
-    )
-    origin = totals.select("class", F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    return points.unionByName(origin)
+def roc_points(df: DataFrame, truth: str, scores: dict[str, Column], corners: bool = False, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``(class, threshold, fpr, tpr)`` by falling threshold, from (0, 0); classes without positives are left out.
+
+    ``corners`` keeps only the points where the curve turns.
+    """
+    return roc_table(score_cells(df, truth, scores, cell_rows), corners)
 
 
 def hit_rate(df: DataFrame, truth: str, predicted: str) -> DataFrame:

@@ -350,6 +350,9 @@ def all_oracles() -> dict[str, str]:
         "auc_macro": f"WITH {SCORED}, {GROUPS} SELECT round(avg(auc), 6) AS auc_roc FROM auc",
         "roc_points": f"WITH {SCORED}, {GROUPS} SELECT class, round(score, 6) AS threshold, round((tn - cn + neg) / cast(tn AS double), 6) AS fpr, round((tp - cp + pos) / cast(tp AS double), 6) AS tpr FROM sr "
                       "UNION ALL SELECT DISTINCT class, NULL, 0, 0 FROM sr",
+        "roc_corners": f"WITH {SCORED}, {GROUPS}, turns AS (SELECT *, lead(pos) OVER w AS np, lead(neg) OVER w AS nn FROM sr WINDOW w AS (PARTITION BY class ORDER BY score DESC)) "
+                       "SELECT class, round(score, 6) AS threshold, round((tn - cn + neg) / cast(tn AS double), 6) AS fpr, round((tp - cp + pos) / cast(tp AS double), 6) AS tpr FROM turns "
+                       "WHERE tp > 0 AND (np IS NULL OR pos * nn <> neg * np) UNION ALL SELECT DISTINCT class, NULL, 0, 0 FROM sr WHERE tp > 0",
         "hit_rate": f"WITH {SCORED} SELECT label AS class, count(*) AS n, count(CASE WHEN label = predicted_class THEN 1 END) AS hits, round(avg(CASE WHEN label = predicted_class THEN 1e0 ELSE 0e0 END), 6) AS rate FROM det GROUP BY label",
         "balanced_weights": f"WITH {FLOWS} SELECT label AS class, count(*) AS n, round(sum(count(*)) OVER () / cast(count(*) OVER () * count(*) AS double), 6) AS weight FROM flows GROUP BY label",
         "feature_by_class_percentiles": f"WITH {FLOWS} " + " UNION ALL ".join(

@@ -367,6 +367,10 @@ def roc_points(spark, d):
     return rounded(me.roc_points(detections(spark, d), "label", _score_columns()), threshold=6, fpr=6, tpr=6)
 
 
+def roc_corners(spark, d):
+    return rounded(me.roc_points(detections(spark, d), "label", _score_columns(), corners=True), threshold=6, fpr=6, tpr=6)
+
+
 def label_metrics(spark, d):
     """Two-class metrics on the labels table: quality as truth, toxic as prediction."""
     return rounded(me.headline_metrics(spark.read.parquet(f"{d}/labels.parquet"), "quality", "toxic"), value=6)
@@ -666,7 +670,7 @@ NAMES = [
     "train_clean_rows", "weight_shares",
     "correlation_pairs", "correlation_lineitem", "drop_correlated", "corr_score", "mutual_info_binned", "topk_features",
     "select_features", "confusion_matrix", "confusion_normalised", "headline_metrics", "per_class_report", "auc_ovr",
-    "auc_macro", "roc_points", "label_metrics", "hit_rate", "balanced_weights", "feature_by_class_percentiles",
+    "auc_macro", "roc_points", "roc_corners", "label_metrics", "hit_rate", "balanced_weights", "feature_by_class_percentiles",
     "histogram_by_class", "softmax_scores", "detect_rows", "batch_summary", "severity_grade", "alert_messages",
     "severity_counts", "recent_alerts", "minimum_severity", "alert_counters", "throttle_alerts", "throttle_decisions",
     "suppressed_totals", "alerts_sent", "rolling_stats", "rolling_class_counts", "trending_class", "lifetime_stats",
