@@ -169,6 +169,40 @@ def test_quality_score_is_the_mean_ratio(spark):
         assert r.score == pytest.approx(want, abs=1e-9)
 
 
+def plain_threshold(scores, trusted):
+    good, bad = np.sort(scores[trusted]), np.sort(scores[~trusted])
+    if not len(good):
+        return float("-inf")
+    bound = good[int(quality_llr.TRUSTED_LOSS * len(good))]
+    if not len(bad):
+        return float(bound)
+    cuts = np.unique(scores)
+    gain = np.searchsorted(bad, cuts) / len(bad) - np.searchsorted(good, cuts) / len(good)
+    middles = [(cuts[k] - cuts[k - 1], (cuts[k] + cuts[k - 1]) / 2) if k else (0.0, cuts[0]) for k in np.flatnonzero(gain == gain.max())]
+    return float(min(bound, max(middles)[1]))
+
+
+def test_quality_threshold_is_the_plain_one(spark):
+    rng = np.random.default_rng(3)
+    for good, bad, digits in ((0, 5, 12), (1, 1, 12), (600, 0, 12), (3000, 2000, 12), (3000, 2000, 1), (1500, 1, 0)):
+        scores = np.round(np.concatenate([rng.normal(1, 1, good), rng.normal(-1, 1, bad)]), digits) + 0.0
+        trusted = np.arange(good + bad) < good
+        rows = spark.createDataFrame([(float(s), int(t)) for s, t in zip(scores, trusted)], "score double, mark int")
+        assert quality_llr.threshold(rows) == plain_threshold(scores, trusted), (good, bad, digits)
+
+
+def test_quality_cut_counts_every_labelled_text(spark):
+    n = 20_000
+    word = F.concat(F.substring(F.md5(F.concat_ws(":", "id", "w")), 1, 5), F.when(F.col("id") % 2 == 1, "").when(F.col("w") % 5 == 0, "***").otherwise(""))
+    docs = spark.range(2 * n).withColumn("w", F.explode(F.sequence(F.lit(1), F.lit(50)))).withColumn("word", word)
+    docs = docs.groupBy(F.col("id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w", "word"))), lambda x: x.word), " ").alias("text")).cache()
+    # Three quarters are trusted, odd-looking ones too, and none rejected: the cut is the loss bound among 30,000 scores.
+    labels = docs.where("doc_id % 4 != 2").select("doc_id", F.lit(1).alias("quality"))
+    rows = quality_llr.judge(docs, labels).join(labels, F.col("id") == F.col("doc_id")).select("score", "cut", "quality", "base_failed").toPandas()
+    assert len(rows) == 1.5 * n and not rows.base_failed.any()
+    assert set(rows.cut) == {plain_threshold(rows.score.to_numpy(), (rows.quality == 1).to_numpy())}
+
+
 def test_stages_keep_unlike_texts_of_one_id_and_null_ids(spark):
     random.seed(8)
     vocab = ["".join(random.choices("abcdefghij", k=6)) for _ in range(900)]
