@@ -200,7 +200,11 @@ def test_quality_cut_counts_every_labelled_text(spark):
     labels = docs.where("doc_id % 4 != 2").select("doc_id", F.lit(1).alias("quality"))
     rows = quality_llr.judge(docs, labels).join(labels, F.col("id") == F.col("doc_id")).select("score", "cut", "quality", "base_failed").toPandas()
     assert len(rows) == 1.5 * n and not rows.base_failed.any()
-    assert set(rows.cut) == {plain_threshold(rows.score.to_numpy(), (rows.quality == 1).to_numpy())}
+    cut = plain_threshold(rows.score.to_numpy(), (rows.quality == 1).to_numpy())
+    assert set(rows.cut) == {cut}
+    # The pipeline's stage goes by the same cut; texts without a label are below it or not like any other.
+    lost = {r.doc_id for r in docs.select("doc_id").subtract(quality_llr.keep_good(docs, labels).select("doc_id")).collect()}
+    assert len([i for i in lost if i % 4 != 2]) == int((rows.score < cut).sum()) == int(quality_llr.TRUSTED_LOSS * len(rows))
 
 
 def test_stages_keep_unlike_texts_of_one_id_and_null_ids(spark):
