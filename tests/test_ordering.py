@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.operators import quantiles
 from tidewatch.operators.ordering import rolling_rows, row_index, running_sums
 from tidewatch.operators.quantiles import exact_quantiles, medians
 
@@ -61,3 +62,31 @@ def test_quantiles_equal_pandas(spark, skewed):
             assert found[k] == (None if value is None or value != value else pytest.approx(value)), k
     assert medians(df, ["v", "none"]) == {"v": pytest.approx(pdf["v"].median()), "none": 0.0}
     assert medians(df.limit(0), ["v"]) == {"v": 0.0}
+
+
+def test_quantiles_by_bits_are_those_of_numpy(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    odd = [0.0, -0.0, np.inf, -np.inf, np.nan, 5e-324, -5e-324]
+    rows = [(float(a), 1.7e15 + float(rng.integers(0, 10**6)), None, k % 5 if k % 3 else None) for k, a in enumerate([*rng.normal(0, 100, 1500), *odd])]
+    df = spark.createDataFrame(rows, "a double, near double, none double, few int").repartition(3)
+    probs = [0, 0.001, 0.25, 0.5, 0.77, 1.0]
+    for most, held in ((quantiles._CELL_ROWS, quantiles._HELD), (10, 50)):  # cells cut again, counts handed on early
+        monkeypatch.setattr(quantiles, "_CELL_ROWS", most)
+        monkeypatch.setattr(quantiles, "_HELD", held)
+        found = {(r["column"], r["prob"]): r["value"] for r in exact_quantiles(df, df.columns, probs).collect()}
+        assert len(found) == len(probs) * 4 and found["none", 0.5] is None
+        for i, name in ((0, "a"), (1, "near"), (3, "few")):
+            own = np.sort(np.array([r[i] for r in rows if r[i] is not None], float))
+            for p in probs:
+                place = p * (len(own) - 1)
+                low, high, share = own[int(np.floor(place))], own[int(np.ceil(place))], place - np.floor(place)
+                np.testing.assert_array_equal(found[name, p], low if low == high else (1 - share) * low + share * high)
+
+
+def test_medians_make_no_row_per_value(spark, monkeypatch):
+    """Values stay in their columns: a row per column and value was most of the time of a wide table."""
+    seen = []
+    monkeypatch.setattr(quantiles, "settle", lambda df: seen.append(df) or df.localCheckpoint())
+    df = spark.range(100).select(*[(F.col("id") * k).alias(f"c{k}") for k in range(1, 6)])
+    assert medians(df, df.columns) == {f"c{k}": 49.5 * k for k in range(1, 6)}
+    assert seen and not any("Generate" in d._jdf.queryExecution().executedPlan().toString() for d in seen)
