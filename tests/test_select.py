@@ -101,3 +101,12 @@ def test_profile_tables(spark, table):
     assert points.columns == ["y", "pc1", "pc2"] and shares[0] > 0.6 and sum(shares) <= 1.0 + 1e-9
     assert pr.most_missing(table, 1).first()["column"] == "gap"
     assert pr.histogram_by_class(table, "a", 0, 12, 4, "y").agg(F.sum("n")).first()[0] == 120
+
+
+def test_correlation_scores_are_few_aggregates_however_many_columns(spark):
+    columns = [f"c{k}" for k in range(12)]
+    table = spark.range(200).select(F.pmod("id", F.lit(5)).cast("double").alias("y"), *[F.when(F.col("id") % 9 != 0, F.sin(F.col("id") * (k + 1))).alias(c) for k, c in enumerate(columns)])
+    scored = se.correlation_scores(table, columns, "y")
+    assert scored._jdf.queryExecution().executedPlan().toString().count("stddev") == 0
+    rows = table.toPandas()
+    assert {r["feature"]: r["score"] for r in scored.collect()} == pytest.approx({c: abs(rows[c].corr(rows.y)) for c in columns})

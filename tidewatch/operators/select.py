@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.errors import FlowDataError, check_positive, need_columns
-from tidewatch.operators.profile import correlation_matrix, guarded_corr
+from tidewatch.operators.gram import pearson
+from tidewatch.operators.profile import correlation_matrix
 from tidewatch.operators.quantiles import exact_quantiles
 
 METHODS = ("mutual_info", "correlation", "importance", "rfe")
@@ -43,11 +44,8 @@ def drop_correlated(df: DataFrame, columns: list[str], threshold: float = 0.95)
 
 def correlation_scores(df: DataFrame, columns: list[str], target_index: str) -> DataFrame:
     """``(feature, score)``: absolute Pearson r with the class index; 0 where undefined."""
-    entries = [
-        F.struct(F.lit(c).alias("feature"), F.coalesce(F.abs(guarded_corr(c, target_index)), F.lit(0.0)).alias("score"))
-        for c in columns
-    ]
-    return df.agg(F.array(*entries).alias("_e")).select(F.explode("_e").alias("_e")).select("_e.*")
+    against = pearson(df, [target_index, *columns]).filter("i = 0")
+    return against.select(F.col("column_j").alias("feature"), F.coalesce(F.abs("r"), F.lit(0.0)).alias("score"))
 
 
 def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int = 10) -> DataFrame:
