@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import language, periodic, token_align
+from tidewatch.llm import bpe, language, periodic, token_align
 from tidewatch.llm.queries import llm_queries, vocabulary
 from tests.conftest import SMALL
 from tests.llm.test_text_ops import DOCS, ODD, docs_of, small, texts_of, words
@@ -240,3 +240,23 @@ def test_alignment_query_digests(spark):
         r = found[i]
         assert (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum) == (n_a, n_b, n_groups, n_links, n_best, count_sum)
         assert r.groups_sha256 == (hashlib.sha256(text.encode()).hexdigest() if n_a else "")
+
+
+def test_codec_remembers_little_and_encodes_the_same(monkeypatch):
+    rng = random.Random(5)
+    rare = ["".join(rng.choices("abcdefgh", k=9)) for _ in range(3000)]
+    texts = [" ".join(["a", "common", *rare[k : k + 20], "common,"]) for k in range(0, len(rare), 20)] + ["", " ", "x" * 100, "á é \U0001f600"]
+    want = [bpe.Codec(vocabulary()).packed(t) for t in texts[:3]] + [bpe.Codec(vocabulary()).packed(t) for t in texts[-4:]]
+    for name, most in (("WORDS_KEPT", 300), ("PIECES_KEPT", 100), ("PAIRS_KEPT", 200)):
+        monkeypatch.setattr(bpe, name, most)
+    own = bpe.Codec(vocabulary())
+    met = own.packed(texts[0])
+    first = own.words.new["common"]
+    every = [met, *map(own.packed, texts[1:])]
+    assert [*every[:3], *every[-4:]] == want
+    assert all(len(m.new) <= m.most and len(m.old) <= m.most for m in (own.words, own.known, own.pairs))
+    # What is frequent outlasts a full table: it is the very object made for the first text.
+    assert (own.words.new.get("common") or own.words.old.get("common")) is first
+    # Entries of a worker, new and old, are about half of the 2,200,000 held before.
+    monkeypatch.undo()
+    assert 2 * (bpe.WORDS_KEPT + bpe.PIECES_KEPT + bpe.PAIRS_KEPT) <= 1_200_000

@@ -41,8 +41,9 @@ LATER = [
 STAND_IN = "\u2603"
 #: A space and a further white space: texts without these can be cut before every space.
 WIDE = [" " + c for c in "\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"] + [f" {chr(c)}" for c in range(0x2000, 0x200B)]
-#: Bounds of what a worker remembers: words (as packed ids), pieces, the length of both, and token pairs.
-WORDS_KEPT, PIECES_KEPT, PIECE_CHARS, PAIRS_KEPT = 800_000, 400_000, 48, 1_000_000
+#: Bounds of what a worker remembers: words (as packed ids), pieces, the length of both, and token pairs. Each is kept twice
+#: at most, see ``Recent``; workers outlive their task, so this memory stands beside that of later stages.
+WORDS_KEPT, PIECES_KEPT, PIECE_CHARS, PAIRS_KEPT = 300_000, 100_000, 48, 200_000
 #: Pieces that a text is cut into at a time.
 CHUNK = 100_000
 
@@ -54,6 +55,28 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+class Recent:
+    """A bounded memory of what was met lately: once ``new`` holds ``most`` keys it becomes ``old``, and what was ``old`` is forgotten.
+
+    Callers look into ``new`` themselves, that being fast; frequent keys come back from ``old`` before they are lost.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def again(self, key):
+        """The value of a key that ``new`` lacks, None if ``old`` lacks it too."""
+        found = self.old.get(key)
+        if found is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key, value) -> None:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class Codec:
     """Encoder and decoder for a byte-level vocabulary file (``tokenizers`` JSON with a BPE model)."""
 
@@ -82,9 +105,7 @@ class Codec:
             if self._builds(i):
                 self.ends.add_word(self.token_bytes[i].decode("latin-1"), (i, len(self.token_bytes[i])))
         self.ends.make_automaton()
-        self.words: dict[str, bytes] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[int, bool] = {}
+        self.words, self.known, self.pairs = Recent(WORDS_KEPT), Recent(PIECES_KEPT), Recent(PAIRS_KEPT)
 
     def _builds(self, token: int) -> bool:
         """Whether merging the token's own bytes gives this token."""
@@ -110,7 +131,7 @@ class Codec:
 
     def piece(self, text: str) -> tuple[int, ...]:
         """Ids of one piece."""
-        if (ids := self.known.get(text)) is not None:
+        if (ids := self.known.new.get(text)) is not None or (ids := self.known.again(text)) is not None:
             return ids
         raw = text.encode().decode("latin-1")
         last, size = [-1] * len(raw), [0] * len(raw)
@@ -120,11 +141,11 @@ class Codec:
                 continue
             if end >= length:
                 before = last[end - length]
-                fits = pairs.get(before * base + token)
-                if fits is None:
-                    if len(pairs) >= PAIRS_KEPT:
-                        pairs.clear()
-                    fits = pairs[before * base + token] = self._fits(before, token)
+                pair = before * base + token
+                fits = pairs.new.get(pair)
+                if fits is None and (fits := pairs.again(pair)) is None:
+                    fits = self._fits(before, token)
+                    pairs.keep(pair, fits)
                 if not fits:
                     continue
             last[end], size[end] = token, length
@@ -134,9 +155,7 @@ class Codec:
             at -= size[at]
         found = tuple(reversed(ids))
         if len(text) <= PIECE_CHARS:
-            if len(self.known) >= PIECES_KEPT:
-                self.known.clear()
-            self.known[text] = found
+            self.known.keep(text, found)
         return found
 
     def _cut(self, text: str) -> Iterator[str]:
@@ -152,20 +171,20 @@ class Codec:
     def _pieces(self, text: str, out: list[int]) -> None:
         known, pieces = self.known, self._cut(text)
         while part := list(islice(pieces, CHUNK)):
-            found = list(map(known.get, part))
+            found = list(map(known.new.get, part))
             if None in found:
                 found = [self.piece(p) if ids is None else ids for p, ids in zip(part, found)]
             out.extend(chain.from_iterable(found))
 
     def _word(self, text: str) -> bytes:
         """Packed ids of a space and what follows it up to the next space."""
+        if (kept := self.words.again(text)) is not None:
+            return kept
         ids: list[int] = []
         self._pieces(" " + text, ids)
         found = pack(ids)
         if len(text) <= PIECE_CHARS:
-            if len(self.words) >= WORDS_KEPT:
-                self.words.clear()
-            self.words[text] = found
+            self.words.keep(text, found)
         return found
 
     def _ordinary(self, text: str, out: list[bytes]) -> None:
@@ -177,7 +196,7 @@ class Codec:
         first, *rest = text.split(" ")
         self._pieces(first, ids)
         out.append(pack(ids))
-        found = list(map(self.words.get, rest))
+        found = list(map(self.words.new.get, rest))
         if None in found:
             found = [self._word(w) if ids is None else ids for w, ids in zip(rest, found)]
         out += found
