@@ -89,3 +89,15 @@ def test_grid_search_picks_a_point(spark):
 
 def test_model_inputs_are_flow_columns(small_flows):
     assert set(MODEL_INPUTS) <= set(small_flows.columns)
+
+
+def test_candidates_share_their_folds(spark, monkeypatch):
+    rows = [(i, float(i % 2) + 0.1 * (i % 5), float(i % 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, a double, label_index double")
+    calls = []
+    monkeypatch.setattr(tr, "assign_folds", lambda *a, plain=tr.assign_folds, **k: calls.append(1) or plain(*a, **k))
+    models = {"logistic_regression": {"maxIter": 5}, "random_forest": {"numTrees": 2, "maxDepth": 2}, "unheard": {}}
+    done, errors = tr.train_all(df, ["a"], "id", models, folds=2)
+    assert list(done) == ["logistic_regression", "random_forest"] and list(errors) == ["unheard"] and len(calls) == 1
+    alone = tr.train_one(df, "logistic_regression", ["a"], "id", {"maxIter": 5}, folds=2)
+    assert alone.fold_scores == pytest.approx(done["logistic_regression"].fold_scores)

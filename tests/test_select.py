@@ -110,3 +110,18 @@ def test_correlation_scores_are_few_aggregates_however_many_columns(spark):
     assert scored._jdf.queryExecution().executedPlan().toString().count("stddev") == 0
     rows = table.toPandas()
     assert {r["feature"]: r["score"] for r in scored.collect()} == pytest.approx({c: abs(rows[c].corr(rows.y)) for c in columns})
+
+
+def test_bins_are_counted_without_a_row_per_column_and_value(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(v, w, y) for v in (None, nan, -inf, -0.0, 0.0, 1.0, 1.5, inf) for w in (2, None) for y in ("a", "b", None)]
+    df = spark.createDataFrame(rows, "v double, w int, y string").repartition(3)
+    edges = {"v": [0.0, 1.0, nan], "w": []}
+    found = se.bin_counts(df, edges, "y")
+    got = {(r["feature"], r["bin"], r["class"]): r["n"] for r in found.collect()}
+    place = F.size(F.filter(F.array(*map(F.lit, edges["v"])), lambda edge: edge < F.col("v")))
+    want = {("v", r["bin"], r["y"]): r["n"] for r in df.groupBy(place.alias("bin"), "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == want | {("w", 0, y): 16 for y in ("a", "b", None)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    assert se.bin_counts(df.limit(0), edges, "y").count() == 0

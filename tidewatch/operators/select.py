@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewatch.errors import FlowDataError, check_positive, need_columns
 from tidewatch.operators.gram import pearson
 from tidewatch.operators.profile import correlation_matrix
 from tidewatch.operators.quantiles import exact_quantiles
+from tidewatch.session import settle
 
 METHODS = ("mutual_info", "correlation", "importance", "rfe")
 
@@ -48,6 +53,40 @@ def correlation_scores(df: DataFrame, columns: list[str], target_index: str) ->
     return against.select(F.col("column_j").alias("feature"), F.coalesce(F.abs("r"), F.lit(0.0)).alias("score"))
 
 
+def bin_counts(df: DataFrame, edges: dict[str, list[float]], target: str) -> DataFrame:
+    """``(feature, bin, class, n)``: rows by class and by how many of a feature's rising ``edges`` lie below its value, none below null.
+
+    Values stay in their columns: a task adds up its batches and hands on one row per feature, bin and class.
+    """
+    columns = list(edges)
+    # NaN is greater than all others, so it lies below nothing.
+    cuts = [np.array([e for e in edges[c] if e == e], float) for c in columns]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict = {}
+        for batch in batches:
+            coded = batch.column(0).dictionary_encode()
+            classes = [*coded.dictionary.to_pylist(), None]
+            at = coded.indices.fill_null(len(classes) - 1).to_numpy(zero_copy_only=False)
+            for c, own in enumerate(cuts):
+                side = batch.column(c + 1)
+                place = np.searchsorted(own, side.to_numpy(zero_copy_only=False).astype(float), side="left")
+                if side.null_count:
+                    place[side.is_null().to_numpy(zero_copy_only=False)] = 0
+                sums = np.bincount(at * (len(own) + 1) + place, minlength=len(classes) * (len(own) + 1))
+                for k in np.flatnonzero(sums).tolist():
+                    key = (c, k % (len(own) + 1), classes[k // (len(own) + 1)])
+                    found[key] = found.get(key, 0) + int(sums[k])
+        at, place, classes = (list(side) for side in zip(*found)) if found else ([], [], [])
+        arrays = [pa.array([columns[c] for c in at], pa.string()), pa.array(place, pa.int32()), pa.array(classes, kind), pa.array(list(found.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, ["feature", "bin", "class", "n"])
+
+    values = df.select(F.col(target).alias("class"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    kind = to_arrow_type(values.schema["class"].dataType)
+    name = values.schema["class"].dataType.simpleString()
+    return values.mapInArrow(work, f"feature string, bin int, class {name}, n long").groupBy("feature", "bin", "class").agg(F.sum("n").alias("n"))
+
+
 def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int = 10) -> DataFrame:
     """``(feature, score)``: mutual information in nats between quantile-binned features and the class.
 
@@ -59,14 +98,8 @@ def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int
     for r in exact_quantiles(df, columns, probs).orderBy("column", "prob").collect():
         if r["value"] is not None and r["value"] not in edges[r["column"]]:
             edges[r["column"]].append(r["value"])
-    # One row per feature, so the broadcast is bounded by the width of the table.
-    bounds = F.broadcast(df.sparkSession.createDataFrame(list(edges.items()), "feature string, _edges array<double>"))
-    values = df.select(F.col(target).alias("class"), F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("_v")) for c in columns
-    ])).alias("_e")).select("class", "_e.*")
-    place = F.size(F.filter("_edges", lambda edge: edge < F.col("_v")))
-    counts = values.join(bounds, "feature").groupBy("feature", place.alias("bin"), "class").agg(F.count(F.lit(1)).alias("n"))
-    # From here on: features x bins x classes rows.
+    # Features x bins x classes rows, read three times.
+    counts = settle(bin_counts(df, edges, target))
     by_bin = counts.groupBy("feature", "bin").agg(F.sum("n").alias("n_bin"), F.collect_list(F.struct("class", "n")).alias("_l"))
     by_class = counts.groupBy("feature", "class").agg(F.sum("n").alias("n_class"))
     total = counts.groupBy("feature").agg(F.sum("n").alias("n_all"))

@@ -13,7 +13,7 @@ from tidewatch.operators.quality import clean
 from tidewatch.operators.sampling import sample_rows, split_rows
 from tidewatch.operators.select import select_features
 from tidewatch.operators.train import LABEL, assemble, comparison, scored, train_all
-from tidewatch.session import settle
+from tidewatch.session import settle, stored
 from tidewatch.sources.registry import ModelRegistry
 from tidewatch.sources.tables import write_report, write_selection
 
@@ -68,11 +68,12 @@ def train_plan(
     # Settled: deduplication shuffles the whole table, and all steps below read the result.
     cleaned = settle(clean(distinct_flows(flows.drop(*ignore), id_column), target))
     table = engineer(split_rows(cleaned, id_column, target, test_size, val_size, seed), untouched=[id_column])
-    seen = (table if fit_on == "all" else table.filter("split = 'train'")).drop("split")
+    # All rows are seen without their split, which costs a hash and a join in each reading.
+    seen = engineer(cleaned, untouched=[id_column]) if fit_on == "all" else table.filter("split = 'train'").drop("split")
     encoder: EncoderModel = FlowEncoder(target, drop=[id_column]).fit(seen)
     classes = encoder.state.classes
-    encoder.check_labels(table)
-    matrix = settle(encoder.transform_features(
+    encoder.check_labels(cleaned)
+    matrix = stored(encoder.transform_features(
         table.withColumn(LABEL, encoder.label_index()), keep=[id_column, LABEL, "split"]))
     fit_rows = matrix if fit_on == "all" else matrix.filter("split = 'train'")
     selection = select_features(fit_rows, encoder.state.features, LABEL, method, top_k, seed=seed) if method else None
@@ -83,7 +84,7 @@ def train_plan(
     best, _ = sorted(validation.items(), key=lambda item: (-item[1]["f1_macro"], item[0]))[0]
     test = evaluate(trained[best].model, parts["test"], chosen, classes, id_column)
     metrics = _metric_map(test)
-    sizes = {r["split"]: r["n"] for r in table.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["split"]: r["n"] for r in matrix.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
     result = {
         "comparison": comparison(spark, trained), "best": best, "validation": validation, "test": test, "metrics": metrics,
         "selection": selection, "encoder": encoder, "classes": classes, "models": trained, "errors": errors, "sizes": sizes,
